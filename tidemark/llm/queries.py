@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import quality, sharding, toxicity
+from tidemark.llm import mixing, neighbours, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +24,20 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality}
-ORACLES = {"op1_sharding": sharding.shard_sql(8)}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.rates(docs, mixing.languages(docs, _table(spark, sf_dir, "labels")), mixing.TARGETS).drop("text", "source", "n_chars")
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
+    "op10_neighbours": op10_neighbours,
+}
+ORACLES = {"op1_sharding": sharding.shard_sql(8), "op10_neighbours": neighbours.nearest_sql(5, 50)}
