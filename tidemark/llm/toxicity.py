@@ -5,7 +5,7 @@ may be dropped (spacing), a letter that repeats the one before it may be dropped
 Viterbi search under a trigram character model, counted over all documents, picks the reading. A word with one path is its
 own reading, so only words with such signs are searched.
 
-The lexical model is learnt from the labelled rows outside the held-out fold: word beginnings of restored texts, weighted
+The lexical model is learnt from labelled rows outside the held-out fold, ``taught`` of them at most: word beginnings of restored texts, weighted
 by the lower confidence bound of their toxic share, and a logistic combination of a text's strongest weights.
 
 Defined results: a null text counts as empty; an empty text gets the combination's score of no evidence; null ids are
@@ -39,12 +39,18 @@ SIDE = 28  # the word's edge, a to z, any other letter
 #: Shortest and longest word beginning that is a feature; a feature's least number of toxic texts; the model's most features.
 SHORTEST, LONGEST, LEAST_TEXTS, MODEL_SIZE = 3, 9, 4, 20_000
 #: The confidence bound's width in standard deviations, and the words remembered by a worker.
-SURE, MEMORY = 2.5, 300_000
+SURE, MEMORY = 2.5, 600_000
+#: Most labelled rows that teach the model: those whose ids have the smallest hashes.
+TAUGHT = 30_000
 
 RUN = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1")
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
-EDGE = re.compile(r"^[^\w$@!|+€]+|\W+$")
+SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){3,}(?!\S)")
+#: What every run of four single letters holds; quick to look for.
+MAYBE_SPACED = re.compile(r"[ \t]\S[ \t]{1,3}\S[ \t]")
+#: Signs that may stand around a word; before it they count as letters when they can stand for one.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”‘’…–—·•"
+BEFORE = "".join(c for c in SIGNS if c not in "$@!|+¡")
 
 
 def letter(c: str) -> int:
@@ -116,30 +122,33 @@ def decode(token: str, model: list[float]) -> str:
 
 
 class Reader:
-    """Restores words and remembers what it has made of them."""
+    """Restores words and weighs them, and remembers what it has made of them."""
 
     def __init__(self, model: list[float], weights: dict[str, float] | None = None):
-        self.model, self.weights = model, weights
+        self.model, self.weights = model, weights or {}
         self.seen: dict[str, str] = {}
         self.scored: dict[str, float] = {}
 
+    def read(self, raw: str) -> str:
+        """A lower-case word's reading."""
+        w = raw.lstrip(BEFORE).rstrip(SIGNS)
+        if w.isalpha() and not (DOUBLE.search(w) and RUN.search(w)):
+            return w
+        return decode(w, self.model) if len(w) <= 60 and any(map(str.isalpha, w)) else w
+
     def word(self, raw: str) -> str:
         found = self.seen.get(raw)
         if found is None:
             if len(self.seen) > MEMORY:
                 self.seen.clear()
-            w = EDGE.sub("", raw)
-            if w and not (w.isalpha() and not RUN.search(w)) and len(w) <= 60:
-                if any(map(str.isalpha, w)):
-                    w = decode(w, self.model)
-            found = self.seen[raw] = w
+            found = self.seen[raw] = self.read(raw)
         return found
 
-    def words(self, text: str | None) -> tuple[set[str], set[str]]:
-        """The distinct restored words, and those read from single spaced letters, whose first word's edge is unknown."""
-        text = (text or "").lower()
-        spaced = {self.word(run.group().replace("\t", " ")) for run in SPACED.finditer(text) if len(run.group()) <= 120}
-        return {self.word(w) for w in set(text.split())}, spaced
+    def spaced(self, lower: str) -> set[str]:
+        """Readings of runs of single spaced letters, whose first word's edge is unknown."""
+        if not MAYBE_SPACED.search(lower):
+            return set()
+        return {self.word(run.group().replace("\t", " ")) for run in SPACED.finditer(lower) if len(run.group()) <= 120}
 
     def restore(self, text: str | None) -> str:
         """The text in lower case with every word replaced by its reading."""
@@ -147,23 +156,20 @@ class Reader:
         return " ".join(self.word(w) for w in text.split())
 
     def features(self, text: str | None) -> set[str]:
-        words, spaced = self.words(text)
-        every = chain(words, (w[i:] for w in spaced for i in range(len(w) - SHORTEST + 1)))
+        lower = (text or "").lower()
+        words = set(map(self.word, set(lower.split())))
+        every = chain(words, (w[i:] for w in self.spaced(lower) for i in range(len(w) - SHORTEST + 1)))
         return {w[:n] for w in every for n in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {f"{w}$" for w in words if len(w) >= SHORTEST}
 
     def weight(self, word: str) -> float:
-        found = self.scored.get(word)
-        if found is None:
-            if len(self.scored) > MEMORY:
-                self.scored.clear()
-            get = self.weights.get
-            found = max((get(word[:n], 0.0) for n in range(SHORTEST, min(LONGEST, len(word)) + 1)), default=0.0)
-            found = max(found, get(f"{word}$", 0.0))
-            if found <= 0 and DOUBLE.search(word):
-                short = DOUBLE.sub(r"\1", word)
-                likelier = self.path(short) - REPEAT_COST >= self.path(word)
-                found = self.weight(short) if likelier else found
-            self.scored[word] = found
+        """The most that a beginning of a restored word weighs."""
+        get = self.weights.get
+        found = max((get(word[:n], 0.0) for n in range(SHORTEST, min(LONGEST, len(word)) + 1)), default=0.0)
+        found = max(found, get(f"{word}$", 0.0))
+        if found <= 0 and DOUBLE.search(word):
+            short = DOUBLE.sub(r"\1", word)
+            if (other := self.weight(short)) > 0 and self.path(short) - REPEAT_COST >= self.path(word):
+                found = other
         return found
 
     def path(self, word: str) -> float:
@@ -176,9 +182,17 @@ class Reader:
 
     def evidence(self, text: str | None) -> list[float]:
         """Bias, the two strongest words' weights, and how many words weigh much."""
-        words, spaced = self.words(text)
-        found = [x for w in words if (x := self.weight(w)) > 0]
-        found += [x for w in spaced if (x := max((self.weight(w[i:]) for i in range(len(w) - SHORTEST + 1)), default=0.0)) > 0]
+        lower = (text or "").lower()
+        words = list(set(lower.split()))
+        weights = [*map(self.scored.get, words)]
+        if None in weights:
+            if len(self.scored) > MEMORY:
+                self.scored.clear()
+            for i, w in enumerate(weights):
+                if w is None:
+                    weights[i] = self.scored[words[i]] = self.weight(self.read(words[i]))
+        found = [x for x in weights if x > 0]
+        found += [x for w in self.spaced(lower) if (x := max((self.weight(w[i:]) for i in range(len(w) - SHORTEST + 1)), default=0.0)) > 0]
         found.sort(reverse=True)
         first, second = [*found, 0.0, 0.0][:2]
         return [1.0, first, second, max(0.0, first - 2.0), math.log1p(sum(x >= 2 for x in found))]
@@ -216,7 +230,7 @@ def lexicon(labelled: DataFrame, model: list[float]) -> dict[str, float]:
     reader_of = lambda: Reader(model)
     hits = (
         labelled.filter("y = 1").select("text").mapInArrow(_counted(reader_of), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "f").limit(MODEL_SIZE * 5).collect()
+        .filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "f").limit(MODEL_SIZE * 2).collect()
     )
     wanted = {r["f"] for r in hits}
     misses = labelled.filter("y = 0").select("text").mapInArrow(_counted(reader_of, wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
@@ -254,11 +268,13 @@ def _combination(labelled: DataFrame, reader_of, steps: int = 12, ridge: float =
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.5, taught: int = TAUGHT) -> DataFrame:
     """doc_id, held_out, score and predicted of every row. Rows of the held-out fold teach the model no labels."""
     model = character_model(docs)
     known = labels_of(labels, "toxic").filter(fold(F.col("doc_id"), folds) != held_out)
-    labelled = materialise(docs.select("doc_id", "text").join(known, "doc_id").select("text", "y"), "toxicity")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(taught)
+    # at most ``taught`` rows of an id and a flag, so the texts needn't be shuffled for them
+    labelled = materialise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y"), "toxicity")
     weights = lexicon(labelled, model)
     reader_of = lambda: Reader(model, weights)
     w = _combination(labelled, reader_of).tolist()
