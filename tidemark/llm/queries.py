@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, neighbours, quality, sharding, toxicity
+from tidemark.llm import decontam, mixing, neighbours, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return mixing.rates(docs, mixing.languages(docs, _table(spark, sf_dir, "labels")), mixing.TARGETS).drop("text", "source", "n_chars")
+    return mixing.rates(docs, mixing.languages(docs, _table(spark, sf_dir, "labels")), mixing.TARGETS).drop("source", "n_chars")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
     "op10_neighbours": op10_neighbours,
 }
-ORACLES = {"op1_sharding": sharding.shard_sql(8), "op10_neighbours": neighbours.nearest_sql(5, 50)}
+ORACLES = {"op1_sharding": sharding.shard_sql(8), "op7_decontamination": decontam.leaks_sql(), "op10_neighbours": neighbours.nearest_sql(5, 50)}
