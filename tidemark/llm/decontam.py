@@ -190,8 +190,8 @@ common AS (SELECT s.doc_id, s.item_id, s.p, least(any_value(s.size), any_value(s
                   h.sh, least(count(*), any_value(h.n)) AS c
            FROM hits s JOIN hits h ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND h.p BETWEEN s.p AND s.p + s.size - 1
            GROUP BY s.doc_id, s.item_id, s.p, h.sh),
-scored AS (SELECT doc_id, item_id, p, any_value(wsize) + any_value(size) AS both, CAST(sum(c) AS BIGINT) AS c FROM common GROUP BY doc_id, item_id, p),
-kept AS (SELECT doc_id, item_id, p, c::DOUBLE / (both - c)::DOUBLE AS similarity FROM scored WHERE 100 * c >= {int(100 * SIMILARITY)} * (both - c))
+scored AS (SELECT doc_id, item_id, p, any_value(wsize) + any_value(size) AS total, CAST(sum(c) AS BIGINT) AS c FROM common GROUP BY doc_id, item_id, p),
+kept AS (SELECT doc_id, item_id, p, c::DOUBLE / (total - c)::DOUBLE AS similarity FROM scored WHERE 100 * c >= {int(100 * SIMILARITY)} * (total - c))
 SELECT doc_id, item_id, similarity, CAST(p AS BIGINT) AS position
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, p) AS r FROM kept) WHERE r = 1
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, mixing, neighbours, quality, sharding, toxicity
+from tidemark.llm import decontam, mixing, neighbours, quality, setsketch, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -43,6 +47,12 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_neighbours": op10_neighbours,
 }
-ORACLES = {"op1_sharding": sharding.shard_sql(8), "op7_decontamination": decontam.leaks_sql(), "op10_neighbours": neighbours.nearest_sql(5, 50)}
+ORACLES = {
+    "op1_sharding": sharding.shard_sql(8),
+    "op7_decontamination": decontam.leaks_sql(),
+    "op8_near_duplicates": setsketch.near_duplicates_sql(),
+    "op10_neighbours": neighbours.nearest_sql(5, 50),
+}
