@@ -50,7 +50,7 @@ def _classifier(shapes: DataFrame, domains: list[str]) -> tuple[list[float], lis
     """Bias and weights of each domain: Gaussian classes with a spread of their own for each letter, the same in all."""
     names = [f"{PREFIX}{i}" for i in range(len(LETTERS))]
     moments = [F.avg(c).alias(f"a{c}") for c in names] + [F.var_pop(c).alias(f"v{c}") for c in names]
-    found = {r["domain"]: r for r in shapes.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *moments).filter(F.col("domain").isin(domains)).collect()}
+    found = {r["domain"]: r for r in shapes.groupBy(F.col(f"{PREFIX}domain").alias("domain")).agg(F.count(F.lit(1)).alias("n"), *moments).filter(F.col("domain").isin(domains)).collect()}
     total = sum(r["n"] for r in found.values())
     if not total:
         return [0.0] * len(domains), [[0.0] * len(names) for _ in domains]
@@ -92,50 +92,51 @@ def _rate(history: list[list[float]], ridge: float, least: float) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, y: F.greatest(F.lit(least), r - (pull(y) + (r - 1.0) * ridge) / (1.0 + ridge)))
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 1.0, ridge: float = 1e-3,
-          steps: int = 40, tolerance: float = 1e-4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with tokens, posteriors (an array in the order of ``targets``), rate and copies.
-
-    ``labelled`` holds (key, domain). The token budget is the least at which no domain has to shrink, so that with
-    ``least`` 1 every document stays; copies round the rate up or down by the digest of the key, on average to the rate.
-    """
-    domains = list(targets)
-    share = [targets[d] / sum(targets.values()) for d in domains]
-    known = labelled.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{PREFIX}key")).agg(F.min("domain").alias("domain"))
-    small = _with_shapes(docs.select(key, text), text).drop(text).withColumnRenamed(key, f"{PREFIX}key")
-    table = materialise(small, "mixing")
-    bias, weights = _classifier(table.join(known, f"{PREFIX}key"), domains)
-    soft = _with_posteriors(table, bias, weights)
-    tokens = F.col(f"{PREFIX}tokens")
-
-    def totals(history: list[list[float]]) -> list[float]:
-        weighted = tokens * F.col(f"{PREFIX}r")
-        row = soft.withColumn(f"{PREFIX}r", _rate(history, ridge, least)).agg(*[F.sum(weighted * F.col(f"{PREFIX}p")[k]).alias(f"s{k}") for k in range(len(domains))]).first()
-        return [row[f"s{k}"] or 0.0 for k in range(len(domains))]
-
-    base = totals([])
-    budget = max((b / s for b, s in zip(base, share, strict=True) if s > 0), default=0.0)
-    goal = [budget * s for s in share]
-    history: list[list[float]] = []
-    now = base
-    for _ in range(steps):
-        # pressure: the expected total's excess, in parts of what the domain has
-        pressure = [(s - g) / b if b > 0 else 0.0 for s, g, b in zip(now, goal, base, strict=True)]
-        if max(map(abs, pressure), default=0) < tolerance:
-            break
-        history.append(pressure)
-        now = totals(history)
-    discard(table)
-
-    out = _with_posteriors(_with_shapes(docs, text), bias, weights).withColumn("rate", _rate(history, ridge, least))
-    chance = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return out.select(
-        *docs.columns,
-        F.col(f"{PREFIX}tokens").cast("long").alias("tokens"),
-        F.col(f"{PREFIX}p").alias("posteriors"),
-        "rate",
-        F.floor(F.col("rate") + chance).cast("int").alias("copies"),
-    )
+class Fit:
+    """What the mixture has learnt: the classifier and the pressures of all steps."""
+
+    def __init__(self, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 1.0, ridge: float = 1e-3,
+                 steps: int = 40, tolerance: float = 1e-4, key: str = "doc_id", text: str = "text"):
+        """``labelled`` holds (key, domain). The token budget is the least at which no domain has to shrink, so that with
+        ``least`` 1 every document stays."""
+        self.least, self.ridge, self.key, self.text = least, ridge, key, text
+        domains = list(targets)
+        share = [targets[d] / sum(targets.values()) for d in domains]
+        known = labelled.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{PREFIX}key")).agg(F.min("domain").alias(f"{PREFIX}domain"))
+        self.table = materialise(_with_shapes(docs, text).drop(text), "mixing")
+        self.bias, self.weights = _classifier(self.table.join(known, F.col(key) == F.col(f"{PREFIX}key")), domains)
+        soft = _with_posteriors(self.table, self.bias, self.weights)
+        self.history: list[list[float]] = []
+
+        def totals() -> list[float]:
+            weighted = F.col(f"{PREFIX}tokens") * F.col(f"{PREFIX}r")
+            sums = [F.sum(weighted * F.col(f"{PREFIX}p")[k]).alias(f"s{k}") for k in range(len(domains))]
+            row = soft.withColumn(f"{PREFIX}r", _rate(self.history, ridge, least)).agg(*sums).first()
+            return [row[f"s{k}"] or 0.0 for k in range(len(domains))]
+
+        base = now = totals()
+        budget = max((b / s for b, s in zip(base, share, strict=True) if s > 0), default=0.0)
+        for _ in range(steps):
+            # pressure: the expected total's excess, in parts of what the domain has
+            pressure = [(n - budget * s) / b if b > 0 else 0.0 for n, s, b in zip(now, share, base, strict=True)]
+            if max(map(abs, pressure), default=0) < tolerance:
+                break
+            self.history.append(pressure)
+            now = totals()
+
+    def apply(self, shaped: DataFrame) -> DataFrame:
+        """Adds rate and copies; these round the rate by the digest of the key, on average to the rate itself."""
+        out = _with_posteriors(shaped, self.bias, self.weights).withColumn("rate", _rate(self.history, self.ridge, self.least))
+        digest = F.md5(F.coalesce(F.col(self.key).cast("string"), F.lit("")))
+        chance = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+        return out.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+
+
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
+    """``docs`` without the text, with tokens, posteriors (an array in the order of ``targets``), rate and copies."""
+    fit = Fit(docs, labelled, targets, **options)
+    more = [F.col(f"{PREFIX}tokens").cast("long").alias("tokens"), F.col(f"{PREFIX}p").alias("posteriors"), "rate", "copies"]
+    return fit.apply(fit.table).select(*[c for c in docs.columns if c != fit.text], *more)
 
 
 def languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -145,5 +146,7 @@ def languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
     """The mixture itself: each row of ``docs`` as many times as its copies, with the columns of ``docs``."""
-    rated = rates(docs, labelled, targets, **options)
-    return rated.filter("copies > 0").withColumn(f"{PREFIX}copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    fit = Fit(docs, labelled, targets, **options)
+    discard(fit.table)
+    rated = fit.apply(_with_shapes(docs, fit.text)).filter("copies > 0")
+    return rated.withColumn(f"{PREFIX}copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
