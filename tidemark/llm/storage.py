@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,10 @@ def discard(df: DataFrame) -> None:
         if "/tidemark/" in file:
             path = jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of queries that have ended, which it does once the driver's JVM has
+    found their plans unused. Without this they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
