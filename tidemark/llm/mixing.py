@@ -148,5 +148,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **optio
     """The mixture itself: each row of ``docs`` as many times as its copies, with the columns of ``docs``."""
     fit = Fit(docs, labelled, targets, **options)
     discard(fit.table)
-    rated = fit.apply(_with_shapes(docs, fit.text)).filter("copies > 0")
-    return rated.withColumn(f"{PREFIX}copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rated = fit.apply(_with_shapes(docs, fit.text))
+    # a filter on the copies would be pushed below the projections, each of which it would then hold anew
+    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>"))
+    return rated.withColumn(f"{PREFIX}copy", F.explode(copies)).select(*docs.columns)

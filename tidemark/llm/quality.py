@@ -164,29 +164,53 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))
 
 
+class Scorer:
+    """A fitted scorer and the table of shapes it was fitted on."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, folds: int, held_out: int, steps: int, ridge: float):
+        kind = docs.select("doc_id").dtypes[0][1]
+        shapes = docs.select("doc_id", "text").mapInArrow(_shapes, f"doc_id {kind}, x array<double>")
+        trusted = labels_of(labels, "quality").filter((F.col("y") == 1) & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", F.lit(True).alias("p"))
+        self.table = materialise(shapes.join(trusted, "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False))), "quality")
+        sums = _totals(self.table, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * WIDTH)
+        n_u, n_p = sums[:2]
+        self.std, self.w = Standard(1, np.zeros(WIDTH), np.ones(WIDTH)), np.zeros(WIDTH)
+        if n_p:
+            self.std = Standard(n_u, sums[2 : 2 + WIDTH], sums[2 + WIDTH :])
+            prior = _prior(self.table, self.std, n_p, n_u, steps, ridge)
+            self.w = _descend(self.table, self.std, n_p, n_u, prior, steps, ridge)
+
+    def column(self) -> Column:
+        """The score of a row of the table."""
+        weight = self.w / self.std.sd
+        high = 8 * np.abs(self.w)
+        total = F.lit(0.0)
+        for i in range(WIDTH):
+            part = (F.col("x")[i] - float(self.std.mean[i])) * float(weight[i])
+            total = total + F.greatest(F.lit(float(-high[i])), F.least(F.lit(float(high[i])), part))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), total))))
+
+
 def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7,
           steps: int = 12, ridge: float = 1e-3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row. Rows of the held-out fold never serve as positives."""
-    shapes = docs.select("doc_id", "text").mapInArrow(_shapes, docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", x array<double>")
-    trusted = labels_of(labels, "quality").filter((F.col("y") == 1) & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", F.lit(True).alias("p"))
-    table = materialise(shapes.join(trusted, "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False))), "quality")
-
-    sums = _totals(table, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * WIDTH)
-    n_u, n_p = sums[:2]
-    if n_p:
-        std = Standard(n_u, sums[2 : 2 + WIDTH], sums[2 + WIDTH :])
-        prior = _prior(table, std, n_p, n_u, steps, ridge)
-        w = _descend(table, std, n_p, n_u, prior, steps, ridge)
-    else:
-        std, w = Standard(1, np.zeros(WIDTH), np.ones(WIDTH)), np.zeros(WIDTH)
-
-    mean, weight = std.mean, w / std.sd
-    low, high = -8 * np.abs(w), 8 * np.abs(w)
-    parts = [F.greatest(F.lit(float(low[i])), F.least(F.lit(float(high[i])), (F.col("x")[i] - float(mean[i])) * float(weight[i]))) for i in range(WIDTH)]
-    total = parts[0]
-    for part in parts[1:]:
-        total = total + part
-    value = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), total))))
-    return table.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), value.alias("score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
-    )
+    scorer = Scorer(docs, labels, folds, held_out, steps, ridge)
+    scored = scorer.table.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), scorer.column().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7,
+         steps: int = 12, ridge: float = 1e-3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more. Texts are read twice and never shuffled."""
+    scorer = Scorer(docs, labels, folds, held_out, steps, ridge)
+    discard(scorer.table)
+    std, w, at = scorer.std, scorer.w, docs.columns.index("text")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                x = np.array([shape(t.as_py()) for t in part.column(at)], np.float64).reshape(-1, WIDTH)
+                yield part.filter(pa.array(_sigmoid(std(x) @ w) >= threshold))
+
+    return docs.mapInArrow(sift, docs.schema)

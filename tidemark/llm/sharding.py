@@ -60,8 +60,9 @@ def jump_chain(hi: Column, lo: Column, below: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(below)), start, step)
 
 
-def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with its shard, its gapless slot there and its shard among ``shards`` + 1.
+def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """Every row of ``docs`` with its shard, its gapless slot there and its shard among ``shards`` + 1; with ``carry``
+    after all columns of ``docs``, which its own columns replace where names clash, else by itself.
 
     Slots are numbered in blocks of a shard, chosen by other bits of the digest. Only the sizes of the blocks are
     summed up across blocks; that table has at most shards * BLOCKS rows, however many documents there are.
@@ -79,14 +80,16 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
             F.conv(F.substring("digest", 17, 4), 16, 10).cast("int").alias("block"),
         ).select(*rest, F.col("chain.shard").cast("int").alias("shard"), F.col("chain.grown").cast("int").alias("grown_shard"), "block")
 
-    rows = placed((F.octet_length(content).cast("long") + F.lit(1)).alias("size"), F.crc32(content).alias("text_crc32"))
+    own = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "digest", "block", "chain", "within", "offset"}
+    more = [c for c in docs.columns if c != key and c not in own] if carry else []
+    rows = placed((F.octet_length(content).cast("long") + F.lit(1)).alias("size"), F.crc32(content).alias("text_crc32"), *more)
     sizes = placed().groupBy("shard", "block").count()  # reads the ids only
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32")
     rows = rows.withColumn("within", F.row_number().over(inside) - F.lit(1))
     return rows.join(sizes, ["shard", "block"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        "doc_id", *more, "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("offset") + F.col("within")).cast("long").alias("slot"), "grown_shard",
     )
 
