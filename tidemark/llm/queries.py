@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_extract, mixing, neighbours, passages, quality, setsketch, sharding, toxicity
+from tidemark.llm import chat, decontam, html_extract, mixing, neighbours, passages, quality, setsketch, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return chat.format_transcripts(chat.transcripts(turns), chat.learn(turns))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -51,6 +56,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
@@ -62,6 +68,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_sharding": sharding.shard_sql(8),
+    "op2_chat_formatting": chat.round_trip_sql(),
     "op7_decontamination": decontam.leaks_sql(),
     "op8_near_duplicates": setsketch.near_duplicates_sql(),
     "op10_neighbours": neighbours.nearest_sql(5, 50),
