@@ -53,6 +53,8 @@ MAIN = re.compile(r"(?<![a-z])(?:article|content|main|post|story|entry|body|text
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
+#: Most hosts whose winning paths (some 100 bytes each) are broadcast.
+BROADCAST_HOSTS = 100_000
 NAMES = ["page_id", "url", "host", "first", "weight", "paths", "places", "texts"]
 
 
@@ -270,8 +272,9 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = f"page_id {kinds['page_id']}, url {kinds['url']}, host string, first string, weight double, paths array<string>, places array<int>, texts array<string>"
     rows = materialise(pages.select("page_id", "url", "html", host.alias("host")).mapInArrow(parsed, schema), "readings")
     votes = rows.filter("first is not null").groupBy("host", F.col("first").alias("path")).agg(F.round(F.sum("weight"), 6).alias("votes"))
-    won = votes.groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path"))
-    joined = rows.join(won, "host", "left")
+    won = materialise(votes.groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path")), "paths")
+    # the texts are shuffled only if there are too many hosts to send to every executor
+    joined = rows.join(F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won, "host", "left")
     # the winner's text if the page has it, else the first: that of the page's own best container
     place = F.coalesce(F.get("places", F.array_position("paths", F.col("path")).cast("int") - 1), F.lit(0))
     text = F.coalesce(F.get("texts", place), F.lit(""))
