@@ -4,8 +4,8 @@
    one node, so copies in any number cost no more than one text.
 2. A node's sketch has M registers: register i holds floor(1 - log_b h) of the least exponential variate h of the set's
    elements, cut to 16 bits. Registers are mergeable by maximum, and equal with a probability close to the similarity.
-3. Bands of registers put nodes into buckets. In each bucket all nodes meet its leader; after the confirmed links are
-   contracted, nodes of one bucket that are still in different components meet in bounded blocks. What shares a component
+3. Bands of registers put nodes into buckets. In each bucket all nodes meet its leader, first in a few bands and then, if
+   they aren't connected yet, in all; nodes of one bucket that are still in different components meet in bounded blocks. What shares a component
    already needs no more links, so a large group of near copies costs a number of pairs in proportion to its size, and
    no two different texts that share a bucket and might connect two components are left out.
 4. A met pair's similarity is estimated by likelihood from how many registers are greater, smaller and equal, given both
@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.storage import discard, materialise
+from tidemark.llm.storage import materialise, release
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 SLACK = 0.2
+EARLY = 3  # bands that are used before the others, whose buckets then hold few components
 BLOCK = 32  # nodes of a block whose pairs are compared at once
 MEMORY = 500_000  # words whose hashes a worker remembers
 GRID = np.linspace(0.0, 1.0, 101)
@@ -99,7 +100,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
             uids = part.column("uid").to_pylist()
-            n, f1, f2, regs, sets = [], [], [], [], []
+            n, f1, f2, regs = [], [], [], []
             for uid, text in zip(uids, part.column("text"), strict=True):
                 s = shingles(text.as_py(), known)
                 n.append(len(s))
@@ -108,14 +109,21 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     f1.append(int.from_bytes(mark[:8], "little", signed=True))
                     f2.append(int.from_bytes(mark[8:], "little", signed=True))
                     regs.append(sketch(s).tobytes())
-                    sets.append((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 else:  # a class of its own
                     f1.append(uid)
                     f2.append(-1)
                     regs.append(None)
-                    sets.append(None)
-            cols = [part.column("uid"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "n", "f1", "f2", "regs", "elements"])
+            cols = [part.column("uid"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "n", "f1", "f2", "regs"])
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Words()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            sets = [(shingles(t.as_py(), known) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(sets, pa.binary())], ["uid", "elements"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +135,8 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = salt[None]
             for r in range(ROWS):
                 keys = _mix((keys + regs[:, :, r]) * _WORD[r])
-            nodes = np.repeat(part.column("node").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], ["band", "node"])
+            nodes, places = np.repeat(part.column("node").to_numpy(), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(places), pa.array(nodes)], ["band", "place", "node"])
 
 
 def similarity(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -203,30 +211,45 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     kind = docs.select("doc_id").dtypes[0][1]
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    schema = f"uid long, doc_id {kind}, n long, f1 long, f2 long, regs binary, elements binary"
+    # a row's id is its content's hash: the same in every reading, and shared only by rows that are one class anyway
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
+    schema = f"uid long, doc_id {kind}, n long, f1 long, f2 long, regs binary"
     table = materialise(rows.mapInArrow(_sketched, schema), "sketches")
 
     classes = table.groupBy("f1", "f2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"))
     classes = materialise(classes, "classes")
     nodes = classes.select("node").join(table.filter("n > 0").select(F.col("uid").alias("node"), "n", "regs"), "node")
-    nodes = materialise(nodes, "nodes")
-    bands = nodes.select("node", "regs").mapInArrow(_banded, "band long, node long")
+    nodes = materialise(nodes.dropDuplicates(["node"]), "nodes")
+    bands = nodes.select("node", "regs").mapInArrow(_banded, "band long, place int, node long")
     buckets = bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("band", "leader")
     members = materialise(bands.join(buckets, "band"), "members")
+    release(docs.sparkSession)
+    # only these nodes' full sets can be asked for: they are made from the texts once more
+    asked = members.select(F.col("node").alias("uid")).distinct()
+    sets = materialise(rows.select("uid", "text").join(asked, "uid").mapInArrow(_full_sets, "uid long, elements binary"), "sets")
+    release(docs.sparkSession)
 
     sketch_of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    first = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.join(sketch_of("b"), "b").join(sketch_of("a"), "a").mapInArrow(_sieved, "a long, b long")
-    links = materialise(_confirm(first, table), "links")
-    comps = components(links)
+    links = comps = None
+    for bands_used in (EARLY, BANDS):
+        first = members.filter((F.col("place") < bands_used) & (F.col("node") != F.col("leader")))
+        if comps is not None:
+            own, led = comps.select("node", F.col("comp").alias("c")), comps.select(F.col("node").alias("leader"), F.col("comp").alias("l"))
+            first = first.join(own, "node", "left").join(led, "leader", "left").filter(F.coalesce("c", "node") != F.coalesce("l", "leader"))
+        first = first.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        first = first.join(sketch_of("b"), "b").join(sketch_of("a"), "a").mapInArrow(_sieved, "a long, b long")
+        found = materialise(_confirm(first, sets), "links")
+        links = links.union(found) if links is not None else found
+        comps = components(links)
+        release(docs.sparkSession)
 
     named = members.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     named = materialise(named, "named")
     mixed = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
     open_ = named.join(mixed, "band")
     second = _between(open_, nodes)
-    more = materialise(_confirm(second.distinct(), table), "links")
+    more = materialise(_confirm(second.distinct(), sets), "links")
+    release(docs.sparkSession)
     if not more.isEmpty():
         comps = components(links.union(more))
 
