@@ -69,7 +69,8 @@ class Model:
             return {o: math.log((table.get((key, o), 0) + 0.5) / total) for o in others}
 
         self.step = {a: logs(steps, a, ROLES) for a in ("", *ROLES)}
-        self.look = {a: logs(looks, a, range(6)) for a in ROLES}
+        # tempered: what a role talks like in one table says little about another
+        self.look = {a: {f: p / 4 for f, p in logs(looks, a, range(6)).items()} for a in ROLES}
 
 
 def learn(turns: DataFrame) -> Model:
