@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import discard, materialise, release
+from tidemark.llm.storage import materialise, release
 
 THRESHOLD, ANCHOR = 50, 24
 #: Bytes of text a task gathers before it deals them, and bytes of text a group.
@@ -201,17 +202,24 @@ def _first_round(groups: int):
     return deal
 
 
+def _split(table: pa.Table, kind: str) -> tuple[np.ndarray, pa.Table]:
+    """The records of one kind, and the other rows: those were settled when gathered and only pass through."""
+    mine = pc.equal(table.column("kind"), kind)
+    return unpack(table.filter(mine).column("payload")), table.filter(pc.invert(mine)).select(["grp", "kind", "payload"])
+
+
 def _second_round(groups: int):
     """Of a group's spans: which are repeated, and which are open since another document has their anchor."""
 
     def sort(table: pa.Table) -> pa.Table:
-        r = unpack(table.column("payload"))
+        r, settled = _split(table, "span")
         r = r[np.lexsort((r["doc"], r["check"], r["name"]))]
         n, name, span = len(r), _starts(r["name"]), _starts(r["name"], r["check"])
         repeated = r["doc"] > _spread(r["doc"][span], span, n)
         several = _spread(np.minimum.reduceat(r["doc"], name) < np.maximum.reduceat(r["doc"], name), name, n) if n else np.zeros(0, bool)
         kinds = _spread(np.add.reduceat(np.isin(np.arange(n), span).astype(int), name) > 1, name, n) if n else several
-        return _table(_by_document(r[repeated], groups, "repeated") + _by_document(r[several & kinds & ~repeated], groups, "open"))
+        rows = _by_document(r[repeated], groups, "repeated") + _by_document(r[several & kinds & ~repeated], groups, "open")
+        return pa.concat_tables([_table(rows), settled])
 
     return sort
 
@@ -266,10 +274,11 @@ def _third_round(groups: int):
 
 def _fourth_round(groups: int):
     def sort(table: pa.Table) -> pa.Table:
-        r = unpack(table.column("payload"))
+        r, settled = _split(table, "string")
         r = r[np.lexsort((r["doc"], r["check"], r["name"]))]
         same = _starts(r["name"], r["check"])
-        return _table(_by_document(r[r["doc"] > _spread(r["doc"][same], same, len(r))], groups, "repeated"))
+        repeated = r[r["doc"] > _spread(r["doc"][same], same, len(r))]
+        return pa.concat_tables([_table(_by_document(repeated, groups, "repeated")), settled])
 
     return sort
 
@@ -306,21 +315,16 @@ def repeated_passages(docs: DataFrame, cut: bool = False) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // GROUP))
 
-    first = materialise(docs.mapInArrow(_first_round(groups), PACK), "spans")
-    ranked = first.filter("kind = 'span'").groupBy("grp").applyInArrow(_second_round(groups), PACK)
-    second = materialise(first.filter("kind <> 'span'").unionByName(ranked), "ranked")
-    discard(first)
+    first = docs.mapInArrow(_first_round(groups), PACK)
+    second = materialise(first.groupBy("grp").applyInArrow(_second_round(groups), PACK), "ranked")
     release(docs.sparkSession)
 
     # texts are dealt by the rule of ``_by_document``; rows without an id by their texts
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
     texts = docs.withColumn("grp", F.pmod(key, F.lit(groups)).cast("int"))
     strings = texts.groupBy("grp").cogroup(second.filter("kind = 'open'").groupBy("grp")).applyInArrow(_third_round(groups), PACK)
-    third = materialise(strings, "strings")
-    release(docs.sparkSession)
-    named = third.filter("kind = 'string'").groupBy("grp").applyInArrow(_fourth_round(groups), PACK)
-    fourth = materialise(named, "repeated")
-    found = second.filter("kind = 'repeated'").unionByName(third.filter("kind = 'repeated'")).unionByName(fourth)
+    third = materialise(strings.groupBy("grp").applyInArrow(_fourth_round(groups), PACK), "named")
+    found = second.filter("kind = 'repeated'").unionByName(third)
     release(docs.sparkSession)
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * cut
     return texts.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_finish(cut), schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,9 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of queries that have ended, which it does once the driver's JVM has
-    found their plans unused. Without this they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    found their plans unused. Without this they stay until the driver happens to collect its garbage. Python lets go of its
+    handles in the background, hence the second time."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
