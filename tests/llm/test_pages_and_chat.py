@@ -16,7 +16,7 @@ def test_a_page():
     assert path == "html/body/div.wrap/div.post-content" and 0.5 < weight <= 1 and found[0] == (path, MAIN)
 
 
-@pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>", ""), ("plain <br> text", "plain\ntext"), ("<main><p>a<p>b</main><nav>c</nav>", "a\nb"), ("<article>a<!-- x --> b<aside>c</aside></article>", "a b"), ("<p>x</p><script>y", "x")])
+@pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>", ""), ("plain <br> text", "plain\ntext"), ("<main><p>a<p>b</main><nav>c</nav>", "a\nb"), ("<article>a<!-- x --> b<aside>c</aside></article>", "a b"), ("<p>x</p><script>y", "x"), ('<article><h2 class="section-header">a</h2><p class="ad">b<p>c</article>', "a\nc")])
 def test_small_pages(page, text):
     found = readings(page)[2]
     assert (found[0][1] if found else "") == text

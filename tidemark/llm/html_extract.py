@@ -38,8 +38,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 NOISE = re.compile(
     r"(?<![a-z])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promoted|promotion|banner|"
     r"nav|navbar|navigation|menu|submenu|breadcrumb|breadcrumbs|pagination|pager|skip|toolbar|"
-    r"header|masthead|topbar|footer|foot|bottombar|colophon|copyright|legal|"
-    r"sidebar|side|aside|rail|widget|widgets|related|recommended|recommendations|trending|popular|teaser|"
+    r"header|masthead|topbar|footer|bottombar|colophon|copyright|legal|"
+    r"sidebar|aside|rail|widget|widgets|related|recommended|recommendations|trending|popular|teaser|"
     r"cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|paywall|"
     r"newsletter|subscribe|subscription|signup|login|form|search|"
     r"comment|comments|respond|replies|disqus|discussion|"
@@ -84,7 +84,7 @@ class Node:
             return True
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", self.marks.get("style", "")):
             return True
-        if self.tag in ("html", "body", "article", "main", "p", "h1", "b", "i", "em", "strong", "a"):
+        if self.tag in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "a"):
             return False
         name = f"{self.marks.get('class', '')} {self.marks.get('id', '')}"
         name = WITH.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
