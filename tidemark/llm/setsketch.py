@@ -4,15 +4,16 @@
    one node, so copies in any number cost no more than one text.
 2. A node's sketch has M registers: register i holds floor(1 - log_b h) of the least exponential variate h of the set's
    elements, cut to 16 bits. Registers are mergeable by maximum, and equal with a probability close to the similarity.
-3. Bands of registers put nodes into buckets. In each bucket all nodes meet its leader, first in a few bands and then, if
-   they aren't connected yet, in all; nodes of one bucket that are still in different components meet in bounded blocks. What shares a component
+3. Bands of registers put nodes into buckets. In each bucket all nodes meet a leader, a node of its largest component,
+   first in a few bands and then, if they aren't connected yet, in all, with other leaders each time; nodes of one bucket
+   that are still in different components meet in bounded blocks. What shares a component
    already needs no more links, so a large group of near copies costs a number of pairs in proportion to its size, and
    no two different texts that share a bucket and might connect two components are left out.
 4. A met pair's similarity is estimated by likelihood from how many registers are greater, smaller and equal, given both
-   set sizes. Pairs within SLACK of the threshold are confirmed on the full sets; elements are compared as 48-bit hashes.
+   set sizes. Pairs within DEVIATIONS of the threshold or above are confirmed on the full sets; elements are compared as 48-bit hashes.
 
 A pair at similarity 0.75 shares one of 32 bands of 4 registers with probability 1 - (1 - 0.75**4)**32, all but 5 in 10^6;
-SLACK is over five deviations of the estimate.
+A link is missed by its estimate once in 10^5 times, which matters only if no other links connect the two components.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; texts of fewer than five words
 have one shingle, the whole sequence; rows repeated under one id are one class if their texts agree; a null id never names a
@@ -36,7 +37,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
-SLACK = 0.2
+FINE = 512  # registers by which nodes of different components are compared; the first M are the same
+DEVIATIONS = 4.3  # of the estimate that a pair may lie below the threshold
 EARLY = 3  # bands that are used before the others, whose buckets then hold few components
 BLOCK = 32  # nodes of a block whose pairs are compared at once
 MEMORY = 500_000  # words whose hashes a worker remembers
@@ -76,11 +78,11 @@ def shingles(text: str | None, known: dict) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """M registers of a set of hashes; of the union of two sets, the maximum of both sketches."""
+def sketch(elements: np.ndarray, m: int = M) -> np.ndarray:
+    """``m`` registers of a set of hashes; of the union of two sets, the maximum of both sketches."""
     y, step = elements.copy(), _mix(elements ^ _WORD[1]) | np.uint64(1)
-    least = np.empty(M, np.uint64)
-    for i in range(M):
+    least = np.empty(m, np.uint64)
+    for i in range(m):
         y += step
         least[i] = y.min()
     h = -np.log1p(-(least.astype(np.float64) + 1) / 2.0**64 * (1 - 2.0**-52)) / RATE
@@ -122,8 +124,10 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            sets = [(shingles(t.as_py(), known) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(sets, pa.binary())], ["uid", "elements"])
+            sets = [shingles(t.as_py(), known) for t in part.column("text")]
+            short = [(x >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in sets]
+            fine = [sketch(x, FINE).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([len(x) for x in sets], pa.int64()), pa.array(fine, pa.binary()), pa.array(short, pa.binary())], ["uid", "n", "fine", "elements"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,26 +143,29 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(places), pa.array(nodes)], ["band", "place", "node"])
 
 
-def similarity(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Likeliest Jaccard similarity, from registers of a that are greater and smaller than b's, and both set sizes."""
+def similarity(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, m: int = M) -> np.ndarray:
+    """Likeliest Jaccard similarity, from how many of ``m`` registers of a are greater and smaller than b's, and both set
+    sizes."""
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
     j = GRID[None] * np.minimum(u / v, v / u)
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
     up, down = p(u - v * j), p(v - u * j)
     log = lambda x: np.log(np.maximum(x, 1e-12))
-    total = greater[:, None] * log(up) + smaller[:, None] * log(down) + (M - greater - smaller)[:, None] * log(1 - up - down)
+    total = greater[:, None] * log(up) + smaller[:, None] * log(down) + (m - greater - smaller)[:, None] * log(1 - up - down)
     return np.take_along_axis(j, total.argmax(1)[:, None], 1)[:, 0]
 
 
 def _likely(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Of pairs (rows), whether they may be similar enough."""
     ok = np.minimum(n_a, n_b) * 100 >= PERCENT * np.maximum(n_a, n_b)
-    at = np.flatnonzero(ok)
+    at, m = np.flatnonzero(ok), regs_a.shape[1]
+    # known set sizes make the estimate some fifth narrower than a share of equal registers
+    least = PERCENT / 100 - DEVIATIONS * 0.8 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / m)
     for s in range(0, len(at), 20000):
         k = at[s : s + 20000]
         a, b = regs_a[k], regs_b[k]
-        ok[k] = similarity((a > b).sum(1), (a < b).sum(1), n_a[k].astype(float), n_b[k].astype(float)) >= PERCENT / 100 - SLACK
+        ok[k] = similarity((a > b).sum(1), (a < b).sum(1), n_a[k].astype(float), n_b[k].astype(float), m) >= least
     return ok
 
 
@@ -170,7 +177,8 @@ def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of nodes of different components in two blocks, or in one block twice."""
+    """Likely pairs of nodes of different components in two blocks, or in one block twice. A pair that shares several
+    buckets counts in that of its first band."""
     for batch in batches:
         found: set[tuple[int, int]] = set()
         for row in (x for at in range(0, batch.num_rows, 50) for x in batch.slice(at, 50).to_pylist()):
@@ -178,10 +186,12 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for side in (row["left"], row["right"]):
                 sides.append((
                     np.array([x["node"] for x in side], np.int64), np.array([x["comp"] for x in side], np.int64),
-                    np.array([x["n"] for x in side], np.int64), np.frombuffer(b"".join(x["regs"] for x in side), np.uint16).reshape(-1, M),
+                    np.array([x["n"] for x in side], np.int64), np.frombuffer(b"".join(x["fine"] for x in side), np.uint16).reshape(-1, FINE),
                 ))
             (a, ca, na, ra), (b, cb, nb, rb) = sides
             i, j = np.nonzero(ca[:, None] != cb[None])
+            same = (ra[i, :M] == rb[j, :M]).reshape(-1, BANDS, ROWS).all(2)
+            i, j = i[same.argmax(1) == row["place"]], j[same.argmax(1) == row["place"]]
             ok = _likely(ra[i], rb[j], na[i], nb[j])
             x, y = a[i[ok]], b[j[ok]]
             found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
@@ -221,41 +231,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = classes.select("node").join(table.filter("n > 0").select(F.col("uid").alias("node"), "n", "regs"), "node")
     nodes = materialise(nodes.dropDuplicates(["node"]), "nodes")
     bands = nodes.select("node", "regs").mapInArrow(_banded, "band long, place int, node long")
-    buckets = bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("band", "leader")
+    buckets = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("band")
     members = materialise(bands.join(buckets, "band"), "members")
     release(docs.sparkSession)
     # only these nodes' full sets can be asked for: they are made from the texts once more
     asked = members.select(F.col("node").alias("uid")).distinct()
-    sets = materialise(rows.select("uid", "text").join(asked, "uid").mapInArrow(_full_sets, "uid long, elements binary"), "sets")
+    sets = materialise(rows.select("uid", "text").join(asked, "uid").mapInArrow(_full_sets, "uid long, n long, fine binary, elements binary"), "sets")
     release(docs.sparkSession)
 
     sketch_of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+    def named_by(comps: DataFrame | None) -> DataFrame:
+        if comps is None:
+            return members.withColumn("comp", F.col("node"))
+        return members.join(comps, "node", "left").select("band", "place", "node", F.coalesce("comp", "node").alias("comp"))
+
     links = comps = None
-    for bands_used in (EARLY, BANDS):
-        first = members.filter((F.col("place") < bands_used) & (F.col("node") != F.col("leader")))
-        if comps is not None:
-            own, led = comps.select("node", F.col("comp").alias("c")), comps.select(F.col("node").alias("leader"), F.col("comp").alias("l"))
-            first = first.join(own, "node", "left").join(led, "leader", "left").filter(F.coalesce("c", "node") != F.coalesce("l", "leader"))
+    for turn, bands_used in enumerate((EARLY, BANDS, BANDS)):
+        named = named_by(comps).filter(F.col("place") < bands_used)
+        # the leader is a node of the bucket's largest component, another one each time
+        sizes = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("l"))
+        leaders = sizes.groupBy("band").agg(F.max(F.struct("c", F.xxhash64("comp", F.lit(turn)), F.col("comp").alias("of"), "l")).alias("m"), F.count(F.lit(1)).alias("k"))
+        leaders = leaders.filter("k > 1").select("band", F.col("m.of").alias("of"), F.col("m.l").alias("leader"))
+        first = named.join(leaders, "band").filter(F.col("comp") != F.col("of"))
         first = first.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        first = first.join(sketch_of("b"), "b").join(sketch_of("a"), "a").mapInArrow(_sieved, "a long, b long")
+        if links is not None:
+            first = first.join(tried, ["a", "b"], "left_anti")
+        first = materialise(first.join(sketch_of("b"), "b").join(sketch_of("a"), "a").mapInArrow(_sieved, "a long, b long"), "pairs")
+        tried = tried.union(first) if links is not None else first
         found = materialise(_confirm(first, sets), "links")
         links = links.union(found) if links is not None else found
+        if found.isEmpty():
+            break
         comps = components(links)
         release(docs.sparkSession)
+    if comps is None:
+        comps = components(links)
 
-    named = members.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    named = materialise(named, "named")
+    named = materialise(named_by(comps), "named")
     mixed = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
     open_ = named.join(mixed, "band")
-    second = _between(open_, nodes)
+    second = _between(open_, sets.select(F.col("uid").alias("node"), "n", "fine").dropDuplicates(["node"]))
     more = materialise(_confirm(second.distinct(), sets), "links")
     release(docs.sparkSession)
     if not more.isEmpty():
         comps = components(links.union(more))
 
     whole = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named_by = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
-    whole = materialise(whole.join(named_by, "comp").select("f1", "f2", "component_id"), "components")
+    least = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
+    whole = materialise(whole.join(least, "comp").select("f1", "f2", "component_id"), "components")
     out = table.select("doc_id", "n", "f1", "f2").join(whole, ["f1", "f2"])
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
@@ -270,12 +293,12 @@ def _between(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     large = F.col("c") >= BLOCK
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
     placed = open_.join(sizes, ["band", "comp"]).join(nodes, "node")
-    placed = placed.select("band", F.when(large, F.col("comp")).otherwise(F.lit(-1)).alias("whose"), F.when(large, deal("node", "c")).otherwise(deal("comp", "small")).alias("part"), F.struct("node", "comp", "n", "regs").alias("x"))
-    blocks = materialise(placed.groupBy("band", "whose", "part").agg(F.collect_list("x").alias("xs")), "blocks")
-    left = blocks.select("band", F.struct("whose", "part").alias("l"), F.col("xs").alias("left"))
+    placed = placed.select("band", "place", F.when(large, F.col("comp")).otherwise(F.lit(-1)).alias("whose"), F.when(large, deal("node", "c")).otherwise(deal("comp", "small")).alias("part"), F.struct("node", "comp", "n", "fine").alias("x"))
+    blocks = materialise(placed.groupBy("band", "place", "whose", "part").agg(F.collect_list("x").alias("xs")), "blocks")
+    left = blocks.select("band", "place", F.struct("whose", "part").alias("l"), F.col("xs").alias("left"))
     right = blocks.select("band", F.struct("whose", "part").alias("r"), F.col("xs").alias("right"))
     meet = (F.col("l") <= F.col("r")) & ((F.col("l.whose") != F.col("r.whose")) | (F.col("l.whose") == -1))
-    return left.join(right, "band").filter(meet).select("left", "right").mapInArrow(_crossed, "a long, b long")
+    return left.join(right, "band").filter(meet).select("place", "left", "right").mapInArrow(_crossed, "a long, b long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
