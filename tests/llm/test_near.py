@@ -93,6 +93,27 @@ def test_sketches_merge_and_estimate():
     assert abs(found - 2000 / 6000) < 0.12
 
 
+@pytest.mark.parametrize("common,total", [(3, 4), (6, 8), (30, 40)])
+def test_loss_at_the_threshold(common, total):
+    """Pairs at 0.75 share a band and pass both sieves as often as independent registers let them."""
+    r, n = np.random.default_rng(2), 20000
+    sets = r.integers(0, 1 << 63, (n, total), dtype=np.uint64)
+    a, b = (np.array([setsketch.sketch(s[:k], setsketch.FINE) for s in sets]) for k in (total, common))
+    bands = (a == b)[:, : setsketch.M].reshape(n, setsketch.BANDS, setsketch.ROWS).all(2).any(1)
+    assert (~bands).sum() <= 2
+    for m in (setsketch.M, setsketch.FINE):
+        assert (~setsketch._likely(a[:, :m], b[:, :m], np.full(n, total), np.full(n, common))).sum() <= 2
+
+
+def test_loss_of_equal_sizes():
+    """Sets of seven with six in common: known sizes don't narrow the estimate, the cut must be as wide as the share's."""
+    r, n = np.random.default_rng(3), 20000
+    sets = r.integers(0, 1 << 63, (n, 8), dtype=np.uint64)
+    a, b = (np.array([setsketch.sketch(s, setsketch.FINE) for s in x]) for x in (sets[:, :7], sets[:, 1:]))
+    for m in (setsketch.M, setsketch.FINE):
+        assert (~setsketch._likely(a[:, :m], b[:, :m], np.full(n, 7), np.full(n, 7))).sum() <= 2
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=20))
 def test_components(spark, edges):

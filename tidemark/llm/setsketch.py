@@ -3,7 +3,7 @@
 1. A text's set is its distinct 5-word shingles as hashes. Documents with equal sets form a class; from here on a class is
    one node, so copies in any number cost no more than one text.
 2. A node's sketch has M registers: register i holds floor(1 - log_b h) of the least exponential variate h of the set's
-   elements, cut to 16 bits. Registers are mergeable by maximum, and equal with a probability close to the similarity.
+   elements, cut to 16 bits. Each register hashes the elements anew, so registers are independent. They are mergeable by maximum, and equal with a probability close to the similarity.
 3. Bands of registers put nodes into buckets. In each bucket all nodes meet a leader, a node of its largest component,
    first in a few bands and then, if they aren't connected yet, in all, with other leaders each time; nodes of one bucket
    that are still in different components meet in bounded blocks. What shares a component
@@ -13,7 +13,7 @@
    set sizes. Pairs within DEVIATIONS of the threshold or above are confirmed on the full sets; elements are compared as 48-bit hashes.
 
 A pair at similarity 0.75 shares one of 32 bands of 4 registers with probability 1 - (1 - 0.75**4)**32, all but 5 in 10^6;
-A link is missed by its estimate once in 10^5 times, which matters only if no other links connect the two components.
+A link at the threshold is missed by its estimate once in 10^5 times at most, which matters only if no other links connect the two components.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; texts of fewer than five words
 have one shingle, the whole sequence; rows repeated under one id are one class if their texts agree; a null id never names a
@@ -38,7 +38,8 @@ BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 FINE = 512  # registers by which nodes of different components are compared; the first M are the same
-DEVIATIONS = 4.3  # of the estimate that a pair may lie below the threshold
+DEVIATIONS = 4.6  # of the share of equal registers that a pair's estimate may lie below the threshold
+TILE = 65536  # hashes that are made at once for a sketch
 EARLY = 3  # bands that are used before the others, whose buckets then hold few components
 BLOCK = 32  # nodes of a block whose pairs are compared at once
 MEMORY = 500_000  # words whose hashes a worker remembers
@@ -55,14 +56,18 @@ class _Words(dict):
         return value
 
 
+_ODD = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    for factor in _ODD:
+        h = (h ^ (h >> np.uint64(33))) * factor
     return h ^ (h >> np.uint64(33))
 
 
+_REGISTER = _mix(np.arange(1, FINE + 1, dtype=np.uint64) * _WORD[0])
+
+
 def shingles(text: str | None, known: dict) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A to Z, and white space of ASCII only
@@ -79,12 +84,15 @@ def shingles(text: str | None, known: dict) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray, m: int = M) -> np.ndarray:
-    """``m`` registers of a set of hashes; of the union of two sets, the maximum of both sketches."""
-    y, step = elements.copy(), _mix(elements ^ _WORD[1]) | np.uint64(1)
+    """``m`` registers of a set of hashes, each by a hash of its own; of the union of two sets, the maximum of both sketches."""
     least = np.empty(m, np.uint64)
-    for i in range(m):
-        y += step
-        least[i] = y.min()
+    wide = max(1, TILE // max(1, len(elements)))
+    for i in range(0, m, wide):
+        y = _REGISTER[i : min(i + wide, m), None] + elements[None]
+        for factor in _ODD:  # as ``_mix``, in place and without its last step, which leaves the high bits as they are
+            y ^= y >> np.uint64(33)
+            y *= factor
+        least[i : i + wide] = y.min(1)
     h = -np.log1p(-(least.astype(np.float64) + 1) / 2.0**64 * (1 - 2.0**-52)) / RATE
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
@@ -160,8 +168,8 @@ def _likely(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nda
     """Of pairs (rows), whether they may be similar enough."""
     ok = np.minimum(n_a, n_b) * 100 >= PERCENT * np.maximum(n_a, n_b)
     at, m = np.flatnonzero(ok), regs_a.shape[1]
-    # known set sizes make the estimate some fifth narrower than a share of equal registers
-    least = PERCENT / 100 - DEVIATIONS * 0.8 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / m)
+    # known set sizes make the estimate narrower than a share of equal registers only if they differ
+    least = PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / m)
     for s in range(0, len(at), 20000):
         k = at[s : s + 20000]
         a, b = regs_a[k], regs_b[k]
