@@ -39,6 +39,20 @@ def test_disguises(spark, documents):
     assert [got[1000 + i] for i in range(8)] == [1] * 4 + [0] * 4
 
 
+def test_long_disguises(spark, documents):
+    """Sentences that are spaced or dotted throughout, words of signs and digits only."""
+    plain = ["the weather is nice today and the sea is calm", "we went to the market and bought some bread", "reading a good book in the garden"] * 30
+    toxic = ["you are a stupid clown and a loser", "what a pathetic idiot he is", "such a bigot and a worthless clown"] * 30
+    labels = spark.createDataFrame([(i, 0, int(i >= 90)) for i in range(180)], "doc_id long, quality int, toxic int")
+    filler = "we went to the market and the sea is calm today and the weather is nice in the garden"
+    spaced, dull = " ".join(f"{filler} you are a stupid clown and a loser {filler}".replace(" ", "")), " ".join(f"{filler} {filler}".replace(" ", ""))
+    planted = [spaced, spaced.replace(" ", "."), spaced.replace(" ", "-"), "what 81907 he is"]
+    clean = [dull, dull.replace(" ", "."), dull.replace(" ", "-"), "bought 1200 at the market on 2024-05-17"]
+    every = list(enumerate(plain + toxic)) + [(1000 + i, t) for i, t in enumerate(planted + clean)]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(documents(every), labels).collect()}
+    assert [got[1000 + i] for i in range(8)] == [1] * 4 + [0] * 4
+
+
 @pytest.mark.parametrize("score", [quality.score, toxicity.score])
 def test_odd_rows(spark, documents, odd, score):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, None, None), (6, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")

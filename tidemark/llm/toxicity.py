@@ -3,7 +3,8 @@
 A disguised word is a lattice: a sign may stand for one of several letters (leetspeak), a separator between single letters
 may be dropped (spacing), a letter that repeats the one before it may be dropped (repetition), each at a channel cost.
 Viterbi search under a trigram character model, counted over all documents, picks the reading. A word with one path is its
-own reading, so only words with such signs are searched.
+own reading, so only words with such signs are searched. Runs and words of any length are searched; in runs of single
+letters a word may begin anywhere.
 
 The lexical model is learnt from labelled rows outside the held-out fold, ``taught`` of them at most: word beginnings of restored texts, weighted
 by the lower confidence bound of their toxic share, and a logistic combination of a text's strongest weights.
@@ -46,6 +47,8 @@ TAUGHT = 30_000
 RUN = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){3,}(?!\S)")
+#: A token of single letters between separators.
+DOTTED = re.compile(r"[^\s{0}](?:[{0}]{{1,3}}[^\s{0}]){{3,}}".format(re.escape("".join(sorted(SEPARATORS - {" "})))))
 #: What every run of four single letters holds; quick to look for.
 MAYBE_SPACED = re.compile(r"[ \t]\S[ \t]{1,3}\S[ \t]")
 #: Signs that may stand around a word; before it they count as letters when they can stand for one.
@@ -96,7 +99,7 @@ def character_model(docs: DataFrame) -> list[float]:
 
 def decode(token: str, model: list[float]) -> str:
     """The likeliest reading of a disguised token; lower case. Drops all separators."""
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    beams: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # readings as linked lists, of any length
     before = ""
     for c in token:
         ways = [(c, 0.0)] if c.isalpha() else []
@@ -107,7 +110,7 @@ def decode(token: str, model: list[float]) -> str:
             ways.append(("", REPEAT_COST))
         elif not c.isalpha():
             ways.append(("", LOST_SIGN_COST))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (p, out) in beams.items():
             for x, cost in ways:
                 if x:
@@ -116,9 +119,19 @@ def decode(token: str, model: list[float]) -> str:
                 else:
                     state, q = (a, b), p - cost
                 if state not in after or q > after[state][0]:
-                    after[state] = (q, out + x)
+                    after[state] = (q, (out, x) if x else out)
         beams, before = after, c if c not in SEPARATORS else before
-    return max((p + model[(a * SIDE + b) * SIDE], out) for (a, b), (p, out) in beams.items())[1]
+    ends = [(p + model[(a * SIDE + b) * SIDE], out) for (a, b), (p, out) in beams.items()]
+    most = max(p for p, _ in ends)
+    return max(_joined(out) for p, out in ends if p == most)
+
+
+def _joined(reading: tuple) -> str:
+    letters = []
+    while reading:
+        reading, x = reading
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
 class Reader:
@@ -127,14 +140,16 @@ class Reader:
     def __init__(self, model: list[float], weights: dict[str, float] | None = None):
         self.model, self.weights = model, weights or {}
         self.seen: dict[str, str] = {}
-        self.scored: dict[str, float] = {}
+        self.scored: dict[str, list[float]] = {}
+        # of a run's letters from one on, all that a feature can hold, by doubled letters too
+        self.span = max([LONGEST * 2, *map(len, self.weights)])
 
     def read(self, raw: str) -> str:
         """A lower-case word's reading."""
         w = raw.lstrip(BEFORE).rstrip(SIGNS)
         if w.isalpha() and not (DOUBLE.search(w) and RUN.search(w)):
             return w
-        return decode(w, self.model) if len(w) <= 60 and any(map(str.isalpha, w)) else w
+        return decode(w, self.model)
 
     def word(self, raw: str) -> str:
         found = self.seen.get(raw)
@@ -148,7 +163,11 @@ class Reader:
         """Readings of runs of single spaced letters, whose first word's edge is unknown."""
         if not MAYBE_SPACED.search(lower):
             return set()
-        return {self.word(run.group().replace("\t", " ")) for run in SPACED.finditer(lower) if len(run.group()) <= 120}
+        return {self.word(run.group().replace("\t", " ")) for run in SPACED.finditer(lower)}
+
+    def dotted(self, raw: str) -> bool:
+        """Whether a word is single letters between separators, as a run of spaced letters is."""
+        return len(raw) > 6 and bool(DOTTED.fullmatch(raw.lstrip(BEFORE).rstrip(SIGNS)))
 
     def restore(self, text: str | None) -> str:
         """The text in lower case with every word replaced by its reading."""
@@ -157,8 +176,10 @@ class Reader:
 
     def features(self, text: str | None) -> set[str]:
         lower = (text or "").lower()
-        words = set(map(self.word, set(lower.split())))
-        every = chain(words, (w[i:] for w in self.spaced(lower) for i in range(len(w) - SHORTEST + 1)))
+        raw = set(lower.split())
+        words = set(map(self.word, raw))
+        runs = self.spaced(lower) | {self.word(w) for w in raw if self.dotted(w)}
+        every = chain(words, (w[i : i + LONGEST] for w in runs for i in range(len(w) - SHORTEST + 1)))
         return {w[:n] for w in every for n in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {f"{w}$" for w in words if len(w) >= SHORTEST}
 
     def weight(self, word: str) -> float:
@@ -172,6 +193,17 @@ class Reader:
                 found = other
         return found
 
+    def inside(self, run: str) -> list[float]:
+        """What the words weigh that begin at any of a run's letters; of words within LONGEST letters, the heaviest."""
+        at = {i: x for i in range(len(run) - SHORTEST + 1) if (x := self.weight(run[i : i + self.span])) > 0}
+        found: list[float] = []
+        near: set[int] = set()
+        for i in sorted(at, key=at.get, reverse=True):
+            if i not in near:
+                found.append(at[i])
+                near.update(range(i - LONGEST + 1, i + LONGEST))
+        return found
+
     def path(self, word: str) -> float:
         a = b = 0
         total = 0.0
@@ -188,11 +220,11 @@ class Reader:
         if None in weights:
             if len(self.scored) > MEMORY:
                 self.scored.clear()
-            for i, w in enumerate(weights):
-                if w is None:
-                    weights[i] = self.scored[words[i]] = self.weight(self.read(words[i]))
-        found = [x for x in weights if x > 0]
-        found += [x for w in self.spaced(lower) if (x := max((self.weight(w[i:]) for i in range(len(w) - SHORTEST + 1)), default=0.0)) > 0]
+            for i, w in enumerate(words):
+                if weights[i] is None:
+                    weights[i] = self.scored[w] = self.inside(self.read(w)) if self.dotted(w) else [x] if (x := self.weight(self.read(w))) > 0 else []
+        found = [x for more in weights if more for x in more]
+        found += [x for w in self.spaced(lower) for x in self.inside(w)]
         found.sort(reverse=True)
         first, second = [*found, 0.0, 0.0][:2]
         return [1.0, first, second, max(0.0, first - 2.0), math.log1p(sum(x >= 2 for x in found))]
