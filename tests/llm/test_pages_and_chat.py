@@ -34,6 +34,14 @@ def test_hosts_vote(spark):
     assert html_extract.extract(df).count() == len(many) + len(odd) and html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_an_article_over_siblings():
+    """Containers of one path are one text in page order, whichever is the largest, without what lies between."""
+    first, second = "An article of many words, with commas, and stops. " * 6, "Its second part, a little shorter, goes on here. " * 4
+    for a, b in ((first, second), (second, first)):
+        found = readings(f'<body><div class="wrap"><div class="text"><p>{a}</p></div><div class="ad"><p>Buy now.</p></div><div class="text"><p>{b}</p></div></div></body>')[2]
+        assert found[0] == ("html/body/div.wrap/div.text", f"{a.strip()}\n{b.strip()}")
+
+
 def test_deep_pages_and_host_pages(spark, sf):
     assert readings("<div>" * 3000 + "deep")[2][0][1] == "deep"
     df = spark.read.parquet(f"{sf}/pages.parquet")

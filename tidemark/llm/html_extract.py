@@ -195,8 +195,9 @@ def _path(node: Node) -> str:
     return "/".join(x.step() for x in reversed([node, *node.above()]))
 
 
-def candidates(root: Node) -> dict[str, tuple[float, Node]]:
-    """Score and node of each container by path; of nodes with one path, the best.
+def candidates(root: Node) -> dict[str, tuple[float, list[Node]]]:
+    """The containers of each path in page order, and the best one's score: where several win over the element around them,
+    their texts are one text; else that element's text holds theirs.
 
     A container is worth the sum, over its own paragraphs and headings, of what they hold beyond links; it hands half
     of it on to its parent, a quarter to the next, so the closest element around the whole text wins. Elements that
@@ -225,14 +226,15 @@ def candidates(root: Node) -> dict[str, tuple[float, Node]]:
                 nodes[id(up)] = up
                 share *= 0.6
                 up = up.parent
-    best: dict[str, tuple[float, Node]] = {}
-    for k, node in nodes.items():
+    best: dict[str, tuple[float, list[Node]]] = {}
+    for k, node in reversed(nodes.items()):  # they were met from the page's end on; those of one path never hold each other
         named = node.tag in ("article", "main") or node.marks.get("role") in ("main", "article") or node.marks.get("itemprop") == "articleBody"
         worth = score[k] * (2.0 if named else 1.3 if MAIN.search(f"{node.marks.get('class', '')} {node.marks.get('id', '')}".lower()) else 1.0)
         worth *= 0.5 if node.tag in ("html", "body") else 1.0
         path = _path(node)
-        if path not in best or worth > best[path][0]:
-            best[path] = (worth, node)
+        before, same = best.get(path, (0.0, []))
+        same.append(node)
+        best[path] = (max(before, worth), same)
     return best
 
 
@@ -245,7 +247,7 @@ def readings(page: str | None) -> tuple[str | None, float, list[tuple[str, str]]
         return None, 0.0, []
     best = -found[0][0]
     second = -found[1][0] if len(found) > 1 else 0.0
-    return found[0][1], 1 - 0.5 * second / best, [(p, "\n".join(blocks(tree[p][1]))) for w, p in found if -w >= 0.5 * best]
+    return found[0][1], 1 - 0.5 * second / best, [(p, "\n".join(x for node in tree[p][1] for x in blocks(node))) for w, p in found if -w >= 0.5 * best]
 
 
 def extract(pages: DataFrame) -> DataFrame:
