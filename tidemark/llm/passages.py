@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.storage import materialise, release
 
 THRESHOLD, ANCHOR = 50, 24
+MOST = THRESHOLD * 2  # strings of a span
 #: Bytes of text a task gathers before it deals them, and bytes of text a group.
 GATHER, GROUP = 16 << 20, 6 << 20
 #: Different spans of one anchor that a gathering deals; further ones go to the last round, which decides exactly too.
@@ -80,16 +81,16 @@ def spans(data: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     run = np.diff(np.append(first, len(least)))
     out = []
-    for at in range(0, int(run.max()), 255):  # a repeated anchor name can make a run of any length
+    for at in range(0, int(run.max()), MOST):  # a repeated anchor name can make a run of any length
         k = run > at
-        out.append(_records(least[first[k]] * _ODD[0], full[first[k] + at], first[k] + at, np.minimum(run[k] - at, 255), full))
+        out.append(_records(least[first[k]] * _ODD[0], full[first[k] + at], first[k] + at, np.minimum(run[k] - at, MOST), full))
     return np.concatenate(out)
 
 
 def _records(name: np.ndarray, start: np.ndarray, pos: np.ndarray, run: np.ndarray, full: np.ndarray) -> np.ndarray:
     out = np.zeros(len(name), FIELDS)
     out["name"] = name ^ (name >> np.uint64(31))
-    # a span of r strings is named by its first, a middle and its last string, which cover it as r <= THRESHOLD * 2
+    # a span of r strings is named by its first, a middle and its last string, which cover it as r <= MOST
     mid, last = full[pos + run // 2], full[pos + run - 1]
     whole = start * _ODD[1] ^ (mid + run.astype(np.uint64)) * _ODD[3] ^ last * _ODD[4]
     out["check"] = (whole ^ (whole >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
