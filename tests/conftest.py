@@ -42,8 +42,10 @@ def duck(sf):
 def rows():
     """Rows as a sorted list that compares values across engines."""
 
+    import pandas as pd
+
     def plain(v):
-        if v is None or v != v:
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
         if hasattr(v, "item"):
             v = v.item()

@@ -15,10 +15,6 @@ MONDAY = 4 * DAY
 OF_DAY = (2, 3, 5, 6, 10, 15, 30)
 
 
-def _calendar(local: Column) -> Column:
-    return F.timestamp_seconds(local)
-
-
 def local_seconds(seconds: Column, zone: str | Column | None) -> Column:
     """Seconds whose UTC calendar is the given zone's. Fixed offsets are added; zone rules are applied row by row."""
     if zone is None:
@@ -33,8 +29,10 @@ def local_seconds(seconds: Column, zone: str | Column | None) -> Column:
     return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(seconds), zone))
 
 
-def utc_seconds(local: Column, zone: str | None) -> Column:
+def utc_seconds(local: Column, zone: str | Column | None) -> Column:
     """The moment at which a zone's clock shows the local seconds."""
+    if isinstance(zone, Column):
+        return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), zone))
     if zone is None or zone.upper() in ("UTC", "GMT", ""):
         return local
     if m := re.fullmatch(r"([+-])(\d{1,2})(?::?(\d{2}))?", zone.strip()):
@@ -59,7 +57,7 @@ def size_of(bucket: str) -> int | None:
 
 def bucket_column(seconds: Column, bucket: str) -> Column:
     """The bucket of local seconds: a long."""
-    name = bucket.strip().lower() if bucket.strip().lower() != "m" else "m"
+    name = bucket.strip().lower()
     if (n := size_of(name)) is not None:
         return seconds - F.pmod(seconds, F.lit(n))
     if name in ("week", "w"):
@@ -90,8 +88,8 @@ def bucket_column(seconds: Column, bucket: str) -> Column:
     raise QueryError(f"unknown time bucket {bucket!r}")
 
 
-def in_unit(local: Column, unit: str, zone: str | None) -> Column:
-    """A bucket's start as a number of units since the epoch, in UTC."""
+def in_unit(local: Column, unit: str, zone: str | Column | None) -> Column:
+    """A bucket's start as a number of units since the epoch, in UTC, whether the zone is one for all rows or each row's."""
     sizes = {"day": DAY, "hour": HOUR, "minute": MINUTE, "second": 1}
     at = utc_seconds(local, zone)
     if unit == "millisecond":

@@ -1,7 +1,7 @@
 """Upserts by primary key: folding a batch, merging it into what is stored, and what late rows may change.
 
 No index is kept: a batch is folded to one row a key first (partial aggregates do most of that before any shuffle), then
-joined once with the stored rows of the days it touches.
+joined once with the stored rows that its caller hands over: those of the parts of the table that the batch touches.
 """
 
 from __future__ import annotations

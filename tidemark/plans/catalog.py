@@ -128,7 +128,11 @@ def check_change(old: TableDef, new: TableDef) -> TableDef:
 
 @dataclass
 class Table:
-    """A registered table. ``df`` may be any DataFrame; timestamps are read as epoch seconds wherever they are named."""
+    """A registered table. ``df`` may be any DataFrame; timestamps are read as epoch seconds wherever they are named.
+
+    ``defaults`` are for columns that ``df`` lacks, such as those appended to a schema since its files were written. Nulls
+    that are stored stay null, and so does what a left join doesn't find.
+    """
 
     name: str
     df: DataFrame
@@ -149,7 +153,7 @@ class Table:
         return isinstance(self.type_of(name), (T.TimestampType, T.TimestampNTZType, T.DateType))
 
     def value(self, name: str, column: Column) -> Column:
-        """A column as expressions see it: times in epoch seconds, defaults for what is absent."""
+        """A column as expressions see it: times in epoch seconds."""
         kind = self.type_of(name)
         if isinstance(kind, T.TimestampType):
             column = F.unix_seconds(column)
@@ -158,8 +162,6 @@ class Table:
             column = F.unix_date(column.cast("date")).cast("long") * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
         elif isinstance(kind, T.DateType):
             column = F.unix_date(column).cast("long") * 86400
-        if name in self.defaults:
-            column = F.coalesce(column, F.lit(self.defaults[name]))
         return column
 
 
@@ -168,6 +170,9 @@ class Catalog:
         self.tables: dict[str, Table] = {}
 
     def register(self, table: Table) -> Table:
+        for name, value in table.defaults.items():
+            if name not in table.df.columns:
+                table = replace(table, df=table.df.withColumn(name, F.lit(value)))
         missing = [c for c in (table.time_column, table.day_column, table.shard_column, *table.primary_key) if c and c not in table.df.columns]
         if missing:
             raise SchemaError(f"{table.name} has no columns {missing}")

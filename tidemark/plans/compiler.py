@@ -329,7 +329,7 @@ class Compiler:
             local = time_buckets.local_seconds(column, zone_)
             column = time_buckets.bucket_column(local, d.time_bucket) if d.time_bucket else local
             if d.time_unit:
-                column = time_buckets.in_unit(column, d.time_unit, zone_ if isinstance(zone_, str) else None)
+                column = time_buckets.in_unit(column, d.time_unit, zone_)
         if d.numeric:
             if x.kind not in NUMERIC:
                 raise QueryError(f"{d.expr} is no number")

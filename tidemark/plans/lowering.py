@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from tidemark.plans.time_filter import zone
 
 BOOL, INT, FLOAT, TEXT, POINT, SHAPE, NONE = "bool", "int", "float", "text", "point", "shape", "null"
 NUMERIC = (INT, FLOAT)
+#: Ids as they may be written.
+ID = re.compile(r"(?:0x)?[0-9a-fA-F]{32}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 AGGREGATES = ("count", "sum", "avg", "min", "max", "hll", "countdistincthll")
 
 
@@ -30,6 +33,10 @@ class Typed:
     item: str = ""
 
 
+def _plain_id(text: str) -> str:
+    return text.lower().removeprefix("0x").replace("-", "")
+
+
 def kind_of(t: T.DataType) -> tuple[str, str]:
     if isinstance(t, T.ArrayType):
         inner = kind_of(t.elementType)[0]
@@ -127,10 +134,7 @@ class Lowering:
             case E.Among(x, items, negated):
                 if not isinstance(x, E.Ref):
                     raise QueryError("IN needs a column on its left")
-                any_ = None
-                for item in items:
-                    same = self.compare("=", x, item).column
-                    any_ = same if any_ is None else any_ | same
+                any_ = self.among(x, items)
                 return Typed(~any_ if negated else any_, BOOL)
             case E.Is(x, None, negated):
                 value = self.lower(x).column
@@ -146,6 +150,29 @@ class Lowering:
                 return self.call(name, args)
         raise QueryError(f"{node} can't stand here")
 
+    def among(self, x: E.Ref, items: tuple) -> Column:
+        """Whether a column equals one of the items: literals of its own kind as one set, of any size, others one by one."""
+        own, (_, table, column) = self.lower(x), self.scope.find(x.name)
+        folds = column in table.case_insensitive
+        plain: list = []
+        ids: list[str] = []
+        found: list[Column] = []
+        for i in items:
+            if isinstance(i, E.Num) and own.kind in NUMERIC:
+                plain.append(i.value)
+            elif isinstance(i, E.Text) and own.kind == TEXT:
+                if folds:
+                    plain.append(i.value.lower())
+                else:
+                    (ids if ID.fullmatch(i.value) else plain).append(i.value)
+            else:
+                found.append(self.compare("=", x, i).column)
+        if plain:
+            found.append((F.lower(own.column) if folds else own.column).isin(plain))
+        if ids:
+            found.append(F.lower(F.replace(own.column, F.lit("-"), F.lit(""))).isin([_plain_id(i) for i in ids]))
+        return reduce(Column.__or__, found)
+
     def unary(self, op: str, x: E.Node) -> Typed:
         if op == "NOT":
             return Typed(~self.boolean(x, True), BOOL)
@@ -184,9 +211,9 @@ class Lowering:
             _, table, column = self.scope.find(a.name)
             if column in table.case_insensitive:
                 left, right = F.lower(left), F.lit(b.value.lower())
-            elif re.fullmatch(r"(?:0x)?[0-9a-fA-F]{32}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", b.value):
+            elif ID.fullmatch(b.value):
                 # ids are equal however they are written
-                left, right = F.lower(F.replace(left, F.lit("-"), F.lit(""))), F.lit(b.value.lower().removeprefix("0x").replace("-", ""))
+                left, right = F.lower(F.replace(left, F.lit("-"), F.lit(""))), F.lit(_plain_id(b.value))
         ops: dict[str, Callable] = {"=": lambda: left == right, "!=": lambda: left != right, "<": lambda: left < right, "<=": lambda: left <= right, ">": lambda: left > right, ">=": lambda: left >= right}
         return Typed(ops[op](), BOOL)
 

@@ -154,25 +154,47 @@ for name, bucket, spoken in (
     _add(name, _q("orders", "count(*)", [("d", "o_orderdate", bucket)]), f"SELECT CAST({spoken} AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL")
 _add("tz_fixed_bucket", _q("events", "count(*)", [("d", "ts", "day")], timezone="-8:00"),
      f"SELECT CAST(({TS} - 28800) - ({TS} - 28800) % 86400 AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL")
-_NY = "CAST(CASE WHEN ts >= TIMESTAMP '2024-03-10 07:00:00' AND ts < TIMESTAMP '2024-11-03 06:00:00' THEN 14400 ELSE 18000 END AS BIGINT)"
-_add("tz_dst_bucket", _q("events", "count(*)", [("d", "ts", "hour of day")], timezone="America/New_York", timeFilter={"from": "2024-01-01", "to": "2024-12-30"}),
-     f"SELECT CAST(({TS} - {_NY}) % 86400 - ({TS} - {_NY}) % 3600 AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-01 05:00:00' AND ts < TIMESTAMP '2024-12-31 05:00:00' GROUP BY ALL")
-for unit, spoken in (("millisecond", f"({TS} - {TS} % 3600) * 1000"), ("second", f"{TS} - {TS} % 3600"), ("minute", f"({TS} - {TS} % 3600) // 60"), ("hour", f"{TS} // 3600"), ("day", f"{TS} // 86400")):
-    _add(f"time_unit_{unit}", _q("events", "count(*)", [("d", "ts", "hour" if unit != "day" else "day", unit)]), f"SELECT CAST({spoken} AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL")
 
 
-def _zone_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones looked up row by row: regions stand for cities, nations for trips."""
-    e = engine(spark, sf_dir, set())
-    zones = F.element_at(F.array(*map(F.lit, ("Etc/GMT+8", "Etc/GMT+5", "Etc/GMT-1", "Etc/GMT-9", "Etc/GMT"))), F.col("r_regionkey") + 1)
-    e.register("zones", spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", zones.alias("timezone")), primary_key=("r_regionkey",))
-    trips = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("place", (F.col("user_id") % 5).cast("int"))
-    e.register("trips", trips, is_fact=True, time_column="ts", primary_key=("event_id",))
-    return e.aql(_q("trips", "count(*)", [("d", "ts", "hour of day")], timezone="timezone(place)", timeFilter=ALWAYS))
+def _clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a time of day, so that they cross the clock changes of seven years hour by hour, and a place."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3600
+    return orders.select("o_orderkey", at.alias("at"), (F.col("o_custkey") % 5).cast("int").alias("place"))
 
 
-_L = f"({TS} + CASE user_id % 5 WHEN 0 THEN -28800 WHEN 1 THEN -18000 WHEN 2 THEN 3600 WHEN 3 THEN 32400 ELSE 0 END)"
-_add("tz_column_bucket", _zone_column, f"SELECT CAST({_L} % 86400 - {_L} % 3600 AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL")
+def _zoned(zone: str, bucket: str, unit: str = "") -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, set())
+        e.register("clocked", _clocked(spark, sf_dir), is_fact=True, time_column="at", primary_key=("o_orderkey",))
+        # zones looked up row by row: regions stand for cities
+        zones = F.element_at(F.array(*map(F.lit, _ZONES)), F.col("r_regionkey") + 1)
+        e.register("zones", spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", zones.alias("timezone")), primary_key=("r_regionkey",))
+        return e.aql(_q("clocked", "count(*)", [("d", "at", bucket, *([unit] if unit else []))], timezone=zone, timeFilter=ALWAYS))
+
+    return run
+
+
+_ZONES = ("America/New_York", "America/Los_Angeles", "America/Chicago", "Asia/Tokyo", "Etc/GMT")
+_AT = "(CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 24 * 3600)"
+#: In these years the United States set their clocks at 2:00 on the first Sunday of April and the last one of October.
+_SPRING = "(CAST(epoch(make_date(y, 4, 1)) AS BIGINT) + (7 - dayofweek(make_date(y, 4, 1))) % 7 * 86400)"
+_AUTUMN = "(CAST(epoch(make_date(y, 10, 31)) AS BIGINT) - dayofweek(make_date(y, 10, 31)) * 86400)"
+_DST = lambda hours: f"CASE WHEN t >= {_SPRING} + {(2 + hours) * 3600} AND t < {_AUTUMN} + {(1 + hours) * 3600} THEN {(1 - hours) * 3600} ELSE {-hours * 3600} END"
+_OFFSET = f"CASE place WHEN 0 THEN {_DST(5)} WHEN 1 THEN {_DST(8)} WHEN 2 THEN {_DST(6)} WHEN 3 THEN 32400 ELSE 0 END"
+_DATED = f"(SELECT {_AT} AS t, year(o_orderdate) AS y, o_custkey % 5 AS place FROM orders)"
+_add("tz_dst_bucket", _zoned("America/New_York", "hour of day"),
+     f"SELECT CAST(t % 86400 // 3600 * 3600 AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM (SELECT t + {_DST(5)} AS t FROM {_DATED}) GROUP BY ALL")
+_add("tz_dst_day", _zoned("America/Los_Angeles", "day"),
+     f"SELECT CAST(t - t % 86400 AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM (SELECT t + {_DST(8)} AS t FROM {_DATED}) GROUP BY ALL")
+_add("tz_column_bucket", _zoned("timezone(place)", "hour of day"),
+     f"SELECT CAST(t % 86400 // 3600 * 3600 AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM (SELECT t + {_OFFSET} AS t FROM {_DATED}) GROUP BY ALL")
+# a unit undoes the zone's shift: the start of the local day, in UTC
+_add("tz_column_unit", _zoned("timezone(place)", "day", "hour"),
+     f"SELECT CAST((local - local % 86400 - (CASE place WHEN 0 THEN {_DST(5)} WHEN 1 THEN {_DST(8)} WHEN 2 THEN {_DST(6)} WHEN 3 THEN 32400 ELSE 0 END)) // 3600 AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v "
+     f"FROM (SELECT place, y, local, CASE WHEN place < 3 THEN local - local % 86400 + CASE place WHEN 0 THEN 18000 WHEN 1 THEN 28800 ELSE 21600 END ELSE t END AS t FROM (SELECT *, t + {_OFFSET} AS local FROM {_DATED})) GROUP BY ALL")
+for unit, spoken in (("millisecond", f"({TS} - {TS} % 3600) * 1000"), ("second", f"{TS} - {TS} % 3600"), ("minute", f"({TS} - {TS} % 3600) // 60"), ("hour", f"{TS} // 3600"), ("day", f"{TS} // 86400")):
+    _add(f"time_unit_{unit}", _q("events", "count(*)", [("d", "ts", "hour" if unit != "day" else "day", unit)]), f"SELECT CAST({spoken} AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL")
 
 
 def _readable(query: dict) -> Callable[[SparkSession, str], DataFrame]:
