@@ -35,6 +35,17 @@ def registers(df: DataFrame, keys: list[str], words: str, into: str = "rank") ->
     return split.groupBy(*keys, "register").agg(F.max(into).alias(into))
 
 
+def packed(df: DataFrame, keys: list[str], words: str, into: str) -> DataFrame:
+    """One sketch a group, to be stored and merged later: its registers' words in order, a rank each, as an array."""
+    found = registers(df, keys, words).filter("register IS NOT NULL")
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.shiftleft("rank", 16).bitwiseOR(F.col("register")))).alias(into))
+
+
+def unpacked(sketches: DataFrame, keys: list[str], sketch: str, words: str) -> DataFrame:
+    """The words of stored sketches, which count and merge like those of the values themselves."""
+    return sketches.select(*keys, F.explode(sketch).alias(words))
+
+
 def estimate(filled: Column, power_sum: Column) -> Column:
     """From the number of registers that hold a rank, and the sum of 2^-rank over them."""
     empty = F.lit(1.0) - filled / F.lit(float(REGISTERS))

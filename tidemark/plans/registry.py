@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -289,6 +290,35 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("hll_words", _words, None)
 
+
+def _close(estimated: str, column: str, by: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Whether each group's estimate lies within 3 % of the exact count (and within 1 of small ones)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        exact = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col(by).alias("d")).agg(F.countDistinct(column).alias("n"))
+        both = QUERIES[estimated](spark, sf_dir).join(exact, "d", "full_outer")
+        near = F.abs(F.col("v") - F.col("n")) <= F.greatest(F.lit(1.0), F.col("n") * 0.03)
+        return both.select("d", "n", F.coalesce(near, F.lit(False)).alias("close"))
+
+    return run
+
+
+for name, column, by in (("hll_distinct", "l_partkey", "l_returnflag"), ("hll_words", "l_suppkey", "l_linestatus")):
+    _add(f"{name}_bound", _close(name, column, by), f"SELECT {by} AS d, count(DISTINCT {column}) AS n, true AS close FROM lineitem GROUP BY ALL")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the months, stored as they would be in files, merged by year: as good as words of the whole year."""
+    from tidemark.functions import hll
+
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.year("o_orderdate").alias("d"), F.month("o_orderdate").alias("m"), hll.word(F.col("o_custkey")).alias("w"))
+    stored = hll.packed(rows, ["d", "m"], "w", "sketch")
+    merged = hll.count_distinct(hll.unpacked(stored, ["d"], "sketch", "w"), ["d"], "w", "a")
+    return merged.join(hll.count_distinct(rows, ["d"], "w", "b"), "d").select("d", (F.col("a") == F.col("b")).alias("same"))
+
+
+_add("hll_merge", _merged, "SELECT DISTINCT year(o_orderdate) AS d, true AS same FROM orders")
+
 # geography: customers stand at points made of their numbers, two squares and one with a hole are looked into
 
 SHAPES = {
@@ -310,6 +340,16 @@ def _geo(dims: list) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+
+
+def _geo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, set())
+    lat, lng = F.col("c_custkey") % 25 + 0.5, F.floor(F.col("c_custkey") / 25) % 25 + 0.5
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("at", F.struct(lat.cast("float").alias("lat"), lng.cast("float").alias("lng")))
+    e.register("people", people, primary_key=("c_custkey",))
+    return e.aql(_q("people", "count(*)", [("d", "c_mktsegment")], rowFilters=["at = 'POINT(2.5 3.5)'"]))
+
+
 _LAT, _LNG = "(c_custkey % 25 + 0.5)", "((c_custkey // 25) % 25 + 0.5)"
 _IN1 = f"({_LAT} < 10 AND {_LNG} < 10)"
 _IN2 = f"({_LAT} > 5 AND {_LAT} < 20 AND {_LNG} > 5 AND {_LNG} < 20 AND NOT ({_LAT} > 11 AND {_LAT} < 14 AND {_LNG} > 11 AND {_LNG} < 14))"
@@ -319,6 +359,31 @@ _add("geo_dimension", _geo([("d", "g.fence")]),
 _add("geo_dimension_hex", _geo([("d", "hex(g.fence)")]),
      f"SELECT upper(replace(CASE WHEN {_IN1} THEN '{[*SHAPES][0]}' ELSE '{[*SHAPES][1]}' END, '-', '')) AS d, CAST(count(*) AS DOUBLE) AS v FROM customer WHERE {_IN1} OR {_IN2} GROUP BY ALL")
 
+_add("filter_point", _geo_rows, f"SELECT c_mktsegment AS d, CAST(count(*) AS DOUBLE) AS v FROM customer WHERE {_LAT} = 3.5 AND {_LNG} = 2.5 GROUP BY ALL")
+
+# ids, lists and shards
+
+
+def _ids(filters: list[str], shards: list[int] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, set())
+        digest = F.md5(F.col("o_orderkey").cast("string"))
+        uuid = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"id": uuid, "shard": (F.col("o_orderkey") % 4).cast("int")})
+        e.register("shipped", orders, is_fact=True, time_column="o_orderdate", primary_key=("o_orderkey",), shard_column="shard")
+        return e.aql(_q("shipped", "count(*)", [("d", "o_orderpriority")], rowFilters=filters, timeFilter=ALWAYS, **({"shards": shards} if shards else {})))
+
+    return run
+
+
+_MD5 = {k: hashlib.md5(str(k).encode()).hexdigest() for k in range(1, 41)}
+_PRIORITIES = "SELECT o_orderpriority AS d, CAST(count(*) AS DOUBLE) AS v FROM orders WHERE {} GROUP BY ALL"
+_add("filter_uuid", _ids([f"id = '{_MD5[7].upper()}'"]), _PRIORITIES.format("o_orderkey = 7"))
+_add("filter_uuid_in", _ids(["id IN (" + ", ".join(f"'{h}'" for h in _MD5.values()) + ")"]), _PRIORITIES.format("o_orderkey BETWEEN 1 AND 40"))
+_add("filter_in_many", _ids(["o_orderkey IN (" + ", ".join(map(str, range(0, 9000, 3))) + ")"]), _PRIORITIES.format("o_orderkey < 9000 AND o_orderkey % 3 = 0"))
+_add("filter_not_in_many", _ids(["o_orderkey NOT IN (" + ", ".join(map(str, range(0, 9000, 3))) + ")"]), _PRIORITIES.format("NOT (o_orderkey < 9000 AND o_orderkey % 3 = 0)"))
+_add("shard_selection", _ids(["o_totalprice > 1000"], [1, 3]), _PRIORITIES.format("o_totalprice > 1000 AND o_orderkey % 4 IN (1, 3)"))
+
 # SQL
 
 _add("sql_agg", "SELECT o_orderstatus AS s, sum(o_totalprice) AS v FROM orders WHERE aql_time_filter(o_orderdate, '1996-01-01', '1997-12-31', '') AND o_totalprice > 1000 GROUP BY s",
@@ -327,6 +392,22 @@ _add("sql_time_bucket", "SELECT count(*) AS v, aql_time_bucket_day(ts, 'day', ''
      f"SELECT CAST({TS} // 86400 AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL")
 _add("sql_numeric_bucket", "SELECT count(*) AS v, aql_numeric_bucket_bucket_width(l_quantity, 10) AS d FROM lineitem WHERE aql_time_filter(l_shipdate, '1990-01-01', '2030-01-01', '') GROUP BY d",
      "SELECT CAST(floor(l_quantity / 10) * 10 AS DOUBLE) AS d, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY ALL")
+_add("sql_log_bucket", "SELECT count(*) AS v, aql_numeric_bucket_logbase(l_quantity, 2) AS d FROM lineitem WHERE aql_time_filter(l_shipdate, '1990-01-01', '2030-01-01', '') GROUP BY d",
+     "SELECT pow(2.0::DOUBLE, floor(log2(l_quantity) + 1e-12)) AS d, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY ALL")
+_add("sql_manual_bucket", "SELECT count(*) AS v, aql_numeric_bucket_manual_partitions(l_quantity, '[5, 10, 40]') AS d FROM lineitem WHERE aql_time_filter(l_shipdate, '1990-01-01', '2030-01-01', '') GROUP BY d",
+     "SELECT CAST(CASE WHEN l_quantity < 5 THEN '-infinity'::DOUBLE WHEN l_quantity < 10 THEN 5 WHEN l_quantity < 40 THEN 10 ELSE 40 END AS DOUBLE) AS d, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY ALL")
+_add("sql_now", "SELECT count(*) AS v, event_type AS d FROM events WHERE aql_time_filter(ts, '7 days ago', 'yesterday', '') AND aql_now(ts, 1705000000) GROUP BY d",
+     "SELECT event_type AS d, CAST(count(*) AS DOUBLE) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-01-11' GROUP BY ALL")
+#: The other macros of time buckets, each with the SQL of its bucket.
+_MACROS = {
+    "minute": f"{TS} - {TS} % 60", "minutes": f"{TS} - {TS} % 60", "hour": f"{TS} - {TS} % 3600", "hours": f"{TS} - {TS} % 3600",
+    "week": "epoch(date_trunc('week', ts))", "month": "epoch(date_trunc('month', ts))", "quarter": "epoch(date_trunc('quarter', ts))", "year": "epoch(date_trunc('year', ts))",
+    "time_of_day": _BUCKETS["rec_time_of_day"][1], "hour_of_day": _BUCKETS["rec_hour_of_day"][1], "hour_of_week": _BUCKETS["rec_hour_of_week"][1], "day_of_week": _BUCKETS["rec_day_of_week"][1],
+    "day_of_month": "day(ts) - 1", "day_of_year": "dayofyear(ts) - 1", "month_of_year": "month(ts) - 1", "quarter_of_year": "quarter(ts) - 1",
+}
+for name, spoken in _MACROS.items():
+    _add(f"sql_bucket_{name}", f"SELECT count(*) AS v, aql_time_bucket_{name}(ts, '', '') AS d FROM events WHERE aql_time_filter(ts, '2024-01-01', '2030-01-01', '') GROUP BY d",
+         f"SELECT CAST({spoken} AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL")
 _add("sql_nonagg", "SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 9000 ORDER BY k LIMIT 15",
      "SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 9000 ORDER BY k LIMIT 15")
 _add("sql_join", "SELECT c.c_mktsegment AS d, avg(o_totalprice) AS v FROM orders LEFT JOIN customer AS c ON o_custkey = c.c_custkey WHERE o_orderdate >= 0 AND o_orderdate < 2000000000 AND (o_orderstatus = 'O' OR NOT c.c_acctbal < 0) GROUP BY d",
