@@ -52,7 +52,7 @@ def test_deep_pages_and_host_pages(spark, sf):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    turns = [(c, t, ("user", "assistant")[t % 2], "Could you tell me?" if t % 2 == 0 else "Yes, here it is.") for c in range(20) for t in range(6)]
+    turns = [(c, t, ("user", "assistant")[t % 2], "Could you tell me?" if t % 2 == 0 else "Yes, here it is.") for c in range(40) for t in range(6)]
     return chat.learn(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
 
 
@@ -65,6 +65,10 @@ def model(spark):
         ("**Q**: one?\n**A**: two", [("user", "one?"), ("assistant", "two")]),
         ("Alice: how are you?\nBob: fine.\nAlice: sure?\nBob: yes.", [("user", "how are you?"), ("assistant", "fine."), ("user", "sure?"), ("assistant", "yes.")]),
         ("Can you help?\n\nSure.\n\nWith this?", [("user", "Can you help?"), ("assistant", "Sure."), ("user", "With this?")]),
+        ("user: hi\nassistant: ok\nwarning: foo bar\nuser: thanks", [("user", "hi"), ("assistant", "ok\nwarning: foo bar"), ("user", "thanks")]),
+        ("Human: one\nHuman: two\nAI: three", [("user", "one\ntwo"), ("assistant", "three")]),
+        ("User: first\n\nsecond\n\nAssistant: third", [("user", "first\n\nsecond"), ("assistant", "third")]),
+        ("### User:\na\n\n### Assistant:\nb\n\nc?\n\n### Assistant:\nd", [("user", "a"), ("assistant", "b"), ("user", "c?"), ("assistant", "d")]),
         (None, []), ("", []), (" \n\n", []),
     ],
 )
@@ -72,6 +76,39 @@ def test_transcripts(model, text, turns):
     assert chat.parse(text, model) == turns
 
 
+def test_any_number_of_speakers_and_turns(model):
+    names = ("Alice", "Bob", "Cara", "Dan", "Eve", "Finn")
+    said = "\n".join(f"{n}: line {i} of {n}" for i in range(20) for n in names)
+    found = chat.read(said, model)
+    assert [name for _, name, _ in found] == [n.lower() for _ in range(20) for n in names]
+    assert [text for _, _, text in found] == [f"line {i} of {n}" for i in range(20) for n in names]
+    turns = [(("user", "assistant")[i % 2], f"turn {i}") for i in range(200)]
+    assert chat.parse("\n".join(f"{r}: {t}" for r, t in turns), model) == turns
+
+
+def test_roles_are_recovered_by_what_was_learnt(spark):
+    """Of conversations that taught nothing, nearly all come back whole; an untrained model can't."""
+    turns = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    truth: dict = {}
+    for r in turns.orderBy("conv_id", "turn").collect():
+        truth.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    held_out = {r["conv_id"]: r["transcript"] for r in chat.transcripts(turns).collect() if r["conv_id"] % 5 == 0}
+    share = lambda m: sum(chat.parse(t, m) == truth[k] for k, t in held_out.items()) / len(held_out)
+    assert len(held_out) > 150
+    assert share(chat.learn(turns.filter("conv_id % 5 <> 0"))) > 0.93 and share(chat.Model({}, {}, {})) < 0.5
+
+
+def test_odd_turns(spark, model):
+    """Null texts, roles, numbers and keys, repeated turns and columns of inner names."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (1, 2, None, "b"), (2, None, "user", ""), (None, 0, "user", "c"), (3, 0, "tool", "word " * 20000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({n: F.lit(1) for n in ("style", "l", "ls", "line", "bare", "was", "next", "transcript")})
+    assert chat.learn(df).step["user"] and chat.learn(df.limit(0)).step["user"]
+    found = {r["conv_id"]: r["n_turns"] for r in chat.format_transcripts(chat.transcripts(df), model).collect()}
+    assert found.keys() == {1, 2, 3, None} and found[2] == 0 and found[3] == found[None] == 1
+
+
 def test_odd_transcripts(spark, model):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "User: x"), (3, "User: " + "word " * 20000), (3, "User: y")], "conv_id long, transcript string")
     assert sorted(r["n_turns"] for r in chat.format_transcripts(df, model).collect()) == [0, 0, 1, 1, 1]
