@@ -22,6 +22,77 @@ def test_small_pages(page, text):
     assert (found[0][1] if found else "") == text
 
 
+LONG = "Prose that goes on for a while, sentence after sentence, with commas and stops, as articles do. " * 3
+
+
+@pytest.mark.parametrize(
+    "inside,text",
+    [
+        ('<p title="5" wide">First para</p><p>second</p>', "First para\nsecond"),
+        ("<p title='a>b' x=\"c>d\" y=e>one</p><p z='open>two</p>", "one\ntwo"),
+        ("<p>Area is <math><mi>a</mi><mo>+</mo><mn>2</mn></math> metres.</p>", "Area is a+2 metres."),
+        ("<p>See <label>the label</label> and <x-note>the note</x-note>.</p>", "See the label and the note."),
+        ('<p class="discussion">a</p><p class="legal-history">b</p><p class="ad">c</p>', "a\nb"),
+        (f'<div class="popular-science"><p>short</p></div><div class="related"><p>{LONG}</p></div>', f"short\n{LONG.strip()}"),
+        (f'<div class="related-posts"><a href=x>{LONG}</a></div><div class="comment-list"><p>{LONG}</p></div><p>kept</p>', "kept"),
+        ('<div class="article-header"><h1>Title</h1></div><div class="share-buttons">Share it</div><p>kept</p>', "Title\nkept"),
+        (f'<div class="cookie-notice"><p>{LONG}</p></div><dialog><p>closed</p></dialog><p>kept</p>', "kept"),
+    ],
+)
+def test_parts_of_an_article(inside, text):
+    found = readings(f"<body><article>{inside}</article></body>")[2]
+    assert found[0][1] == text
+
+
+def test_against_another_parser(spark):
+    """All pages of a table: the blocks within ``article``, by the parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Slow(HTMLParser):
+        BLOCKS = ("p", "h1", "h2", "h3", "li", "ul", "div", "br", "article", "section", "blockquote")
+
+        def __init__(self):
+            super().__init__()
+            self.inside, self.found, self.now = 0, [], ""
+
+        def end(self):
+            if text := " ".join(self.now.split()):
+                self.found.append(text)
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in self.BLOCKS:
+                self.end()
+
+        def handle_endtag(self, tag):
+            if tag in self.BLOCKS:
+                self.end()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.now += data
+
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = {r["page_id"]: r for r in html_extract.extract(df).collect()}
+    for p in df.collect():
+        slow = Slow()
+        slow.feed(p["html"])
+        slow.close()
+        assert rows[p["page_id"]]["text"] == "\n".join(slow.found) and rows[p["page_id"]]["n_chars"] == len("\n".join(slow.found))
+
+
+def test_a_long_page_and_columns_of_inner_names(spark):
+    from pyspark.sql import functions as F
+
+    page = f"<article>{'<p>word after word</p>' * 50_000}</article>"
+    df = spark.createDataFrame([(1, "http://a.example/1", page), (1, "http://a.example/1", page)], "page_id long, url string, html string")
+    df = df.withColumns({n: F.lit(7) for n in ("host", "first", "weight", "paths", "places", "texts", "path", "votes", "text", "n_chars")})
+    found = html_extract.extract(df).collect()
+    assert len(found) == 2 and all(r["n_chars"] == 50_000 * 16 - 1 for r in found)
+
+
 def test_hosts_vote(spark):
     """A page whose own best container is its long list of teasers is read by its host's path."""
     article = '<body><div class="list"><p>{}</p></div><div class="body"><p>{}</p></div></body>'

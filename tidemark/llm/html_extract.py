@@ -6,11 +6,17 @@
    wins a host if it has the largest sum; votes are aggregated before they are shuffled, so a host may hold any share.
 3. Every page is extracted anew by its host's winning path, if the page has such a container of at least half the best one's
    worth, else by its own best. The texts of all such containers are kept from the only parse. Blocks within
-   a container that are menus, headers, footers, sidebars, notices, adverts, forms or reader comments are left out.
+   a container that are menus, headers, footers, sidebars, notices, adverts, forms or reader comments are left out. What a
+   class or id says counts by itself if it can only mean such a part. Words that have ordinary meanings too ("legal",
+   "popular", "related") need all of the name to be of that kind, and never take prose out of the article: a paragraph, or
+   a block of ``PROSE`` words or more that are hardly links.
 
 Defined results: a null or empty html, and a page without any text in its container, give the empty text; a null or broken
-url votes under the empty host; pages repeated are extracted row by row; an empty table gives an empty result; extra
-columns are ignored.
+url votes under the empty host; of paths with equal votes the last by name wins; elements of unknown names hold text like
+others; stray quotes and unclosed tags, comments and quotations end where a browser ends them; pages of any length and
+nesting are read whole; pages repeated are extracted row by row; an empty table gives an empty result; extra columns are
+ignored, whatever their names. What a browser shows only where it can't show an element itself (``object``, ``canvas``,
+``video``, ``iframe``, ``noscript``), and a closed dialog, is no text of the page.
 """
 
 from __future__ import annotations
@@ -33,25 +39,33 @@ CLOSES_P = BLOCK - frozenset("br body html caption dd dt li option optgroup td t
 #: Of those that end implicitly: the open elements that a start tag ends, and where the search for them stops.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 #: Elements that never hold main text, and roles and class or id words that mark such parts.
-DROPPED = frozenset("script style nav header footer aside form noscript template iframe svg math button select textarea input object embed canvas audio video dialog menu head title label datalist noembed noframes".split())
+DROPPED = frozenset("script style nav header footer aside form noscript template iframe svg button select textarea input object embed canvas audio video menu head title datalist noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-NOISE = re.compile(
-    r"(?<![a-z])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promoted|promotion|banner|"
-    r"nav|navbar|navigation|menu|submenu|breadcrumb|breadcrumbs|pagination|pager|skip|toolbar|"
-    r"header|masthead|topbar|footer|bottombar|colophon|copyright|legal|"
-    r"sidebar|aside|rail|widget|widgets|related|recommended|recommendations|trending|popular|teaser|"
-    r"cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|paywall|"
-    r"newsletter|subscribe|subscription|signup|login|form|search|"
-    r"comment|comments|respond|replies|disqus|discussion|"
-    r"social|share|sharing|follow|tags|tagcloud)(?![a-z])"
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toolbar "
+    "masthead topbar footer bottombar colophon sidebar widget widgets cookie cookies consent gdpr notice notices popup modal paywall "
+    "newsletter subscribe signup login comment comments respond replies disqus sharing tagcloud".split()
 )
+WEAK = frozenset(
+    "promoted promotion banner skip header copyright legal aside rail related recommended recommendations trending popular teaser notification alert overlay "
+    "subscription form search discussion social share follow tags".split()
+)
+#: Words that say where or how a part stands, nothing of what it holds.
+PLACES = frozenset(
+    "site page top global primary secondary left right bottom main inner outer box bar list links link block wrap wrapper container section area buttons button icons icon "
+    "items item posts post articles stories panel group row col column title text js".split()
+)
+PARAGRAPHS = frozenset("p li td dd dt blockquote pre figcaption caption summary address span font small label u s q cite code sub sup abbr time mark math".split())
+#: Words from which on a block that is hardly made of links is prose, and the share of words in links that a block of links has.
+PROSE, LINKED = 30, 0.3
 #: Names that only say what a layout has beside its main text.
 WITH = re.compile(r"(?<![a-z])(?:has|with|no|without)[-_]\w+(?:-\w+)*")
 #: Class words that speak for a container whatever else it is called.
 MAIN = re.compile(r"(?<![a-z])(?:article|content|main|post|story|entry|body|text|prose)(?![a-z])")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A quote has a meaning only after an equals sign; one without an end has none.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>=]|=)*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 #: Most hosts whose winning paths (some 100 bytes each) are broadcast.
 BROADCAST_HOSTS = 100_000
@@ -78,6 +92,8 @@ class Node:
         if self.tag in DROPPED:
             # an article's own header holds its headline, not the site's menu
             return not (self.tag == "header" and any(p.tag in ("article", "main") for p in self.above()))
+        if self.tag == "dialog" and "open" not in self.marks:
+            return True
         if not self.marks:
             return False
         if "hidden" in self.marks or self.marks.get("aria-hidden") == "true" or self.marks.get("role", "") in ROLES:
@@ -88,7 +104,35 @@ class Node:
             return False
         name = f"{self.marks.get('class', '')} {self.marks.get('id', '')}"
         name = WITH.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-        return bool(NOISE.search(name))
+        weak = False
+        for token in name.split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            strong = STRONG.intersection(words)
+            if strong and (len(words) == 1 or self.tag not in PARAGRAPHS):
+                return True
+            weak = weak or bool(WEAK.intersection(words)) and all(w in WEAK or w in PLACES or w in STRONG for w in words)
+        if not weak:
+            return False
+        words, linked = self.size()
+        links = linked > LINKED * words
+        if self.tag in PARAGRAPHS or any(x.tag in ("article", "main") for x in self.above()):
+            return links or self.tag not in PARAGRAPHS and words < PROSE
+        return True
+
+    def size(self) -> tuple[int, int]:
+        """Words of the element, and those of them in links."""
+        words = linked = 0
+        stack: list[tuple[Node, bool]] = [(self, False)]
+        while stack:
+            node, link = stack.pop()
+            link = link or node.tag == "a"
+            for child in node.children:
+                if isinstance(child, str):
+                    n = len(child.split())
+                    words, linked = words + n, linked + n * link
+                elif child.tag not in RAW:
+                    stack.append((child, link))
+        return words, linked
 
     def above(self) -> Iterator[Node]:
         node = self.parent
@@ -199,8 +243,8 @@ def candidates(root: Node) -> dict[str, tuple[float, list[Node]]]:
     """The containers of each path in page order, and the best one's score: where several win over the element around them,
     their texts are one text; else that element's text holds theirs.
 
-    A container is worth the sum, over its own paragraphs and headings, of what they hold beyond links; it hands half
-    of it on to its parent, a quarter to the next, so the closest element around the whole text wins. Elements that
+    A container is worth the sum, over its own paragraphs and headings, of what they hold beyond links; it hands 0.6
+    of it on to its parent, 0.36 to the next, so the closest element around the whole text wins. Elements that
     stand for main text by name weigh more.
     """
     score: dict[int, float] = {}
