@@ -87,10 +87,47 @@ def test_mixture_reaches_its_targets(spark, sf):
     assert np.abs(r - rate).max() < 1e-6
 
 
+def test_the_classifier_and_copies_of_a_mixture(spark):
+    """Posteriors by the same formula in numpy over all n-gram shares, copies by the digest of the id."""
+    import hashlib
+    import math
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    fit = mixing.Fit(docs, mixing.languages(docs, labels), mixing.TARGETS)
+    rows = {r["doc_id"]: r for r in fit.table.withColumn("copies", fit.copies()).collect()}
+    domains, known = [*mixing.TARGETS], {r["doc_id"] for r in labels.collect()}
+    table = docs.collect()
+    x = np.array([[math.sqrt((len(b) - len(b.replace(g.encode(), b""))) / max(1, len(b))) for g in fit.grams] for b in ((r["text"] or "").encode() for r in table)])
+    taught = np.array([r["doc_id"] in known for r in table])
+    y = np.array([domains.index(r["lang"]) for r in table])
+    means = np.array([x[taught & (y == k)].mean(0) for k in range(len(domains))])
+    counts = np.array([(taught & (y == k)).sum() for k in range(len(domains))])
+    spread = sum(n * x[taught & (y == k)].var(0) for k, n in enumerate(counts)) / counts.sum() + 1e-4
+    logit = np.log((counts + 0.5) / (counts.sum() + 0.5 * len(domains))) - ((x[:, None] - means[None]) ** 2 / spread).sum(2) / 2
+    p = np.exp(logit - logit.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert len(fit.grams) >= 2 * mixing.PER_DOMAIN and fit.residual < 0.01
+    for r, mine in zip(table, p, strict=True):
+        got = rows[r["doc_id"]]
+        assert np.abs(np.array(got["_mix_p"]) - mine).max() < 1e-6 and got["_mix_tokens"] == len((r["text"] or "").split())
+        assert got["copies"] == math.floor(got["_mix_r"] + int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16) / 2**32)
+
+
+def test_a_mixture_keeps_columns_of_its_names(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs = documents([(i, "le la les " * 5 if i % 2 else "the of and " * 9) for i in range(20)]).withColumns({n: F.col("doc_id") * 1.5 for n in ("rate", "copies", "tokens", "posteriors", "residual", "domain", "gram")})
+    known = spark.createDataFrame([(i, ("en", "fr")[i % 2]) for i in range(20)], "doc_id long, domain string")
+    mixed = mixing.mix(docs, known, {"en": 1, "fr": 1}, steps=3)
+    assert mixed.columns == docs.columns and all(r["rate"] == r["copies"] == r["doc_id"] * 1.5 for r in mixed.collect())
+    found = mixing.rates(docs, known, {"en": 1, "fr": 1}, steps=3)
+    assert len(set(found.columns)) == len(found.columns) and found.filter("rate < 1").count() == 0
+
+
 def test_mixture_of_odd_rows(spark, documents, odd):
     known = spark.createDataFrame([(4, "en"), (6, "fr"), (None, "en"), (9, None), (8, "xx")], "doc_id long, domain string")
     docs = documents(odd)
-    assert mixing.rates(docs, known, {"en": 1, "fr": 1}).count() == len(odd)
-    mixed = mixing.mix(docs, known, {"en": 1, "fr": 1})
+    assert mixing.rates(docs, known, {"en": 1, "fr": 1}, steps=3).count() == len(odd)
+    mixed = mixing.mix(docs, known, {"en": 1, "fr": 1}, steps=3)
     assert mixed.columns == docs.columns and mixed.count() >= len(odd)
-    assert mixing.mix(documents([]), known, {"en": 1}).count() == 0 and mixing.mix(docs, known.limit(0), {"en": 1, "fr": 1}).count() >= len(odd)
+    assert mixing.mix(documents([]), known, {"en": 1}, steps=3).count() == 0 and mixing.mix(docs, known.limit(0), {"en": 1, "fr": 1}, steps=3).count() >= len(odd)

@@ -6,12 +6,15 @@ Viterbi search under a trigram character model, counted over all documents, pick
 own reading, so only words with such signs are searched. Runs and words of any length are searched; in runs of single
 letters a word may begin anywhere.
 
-The lexical model is learnt from labelled rows outside the held-out fold, ``taught`` of them at most: word beginnings of restored texts, weighted
-by the lower confidence bound of their toxic share, and a logistic combination of a text's strongest weights.
+The lexical model is learnt from labelled rows outside the held-out fold, about ``taught`` of them at most: those whose ids'
+hashes are below the share of labelled ids that this leaves. All word beginnings of their restored texts that are in
+``LEAST_TEXTS`` toxic ones or more are weighted by the lower confidence bound of their toxic share; a logistic combination
+takes a text's strongest weights.
 
 Defined results: a null text counts as empty; an empty text gets the combination's score of no evidence; null ids are
 never labelled; labels repeated for an id are averaged and count as 1 from 0.5; repeated documents are scored row by row;
-an empty table gives an empty result; without labels every score is 0.5 or less; extra columns are ignored.
+of equal weights any counts; texts, words and runs of any length are read whole; an empty table gives an empty result; without
+labels every score is 0.5 or less; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality import fold, labels_of
-from tidemark.llm.storage import materialise
+from tidemark.llm.storage import discard, materialise
 
 #: The letters that a sign can stand for.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "¡": "i", "£": "l", "(": "c"}
@@ -37,11 +40,11 @@ SEPARATORS = set(" .-_*·•~/\\,'`^:")
 #: Channel costs in nats.
 SIGN_COST, DROP_COST, REPEAT_COST, LOST_SIGN_COST = 1.0, 0.1, 0.3, 12.0
 SIDE = 28  # the word's edge, a to z, any other letter
-#: Shortest and longest word beginning that is a feature; a feature's least number of toxic texts; the model's most features.
-SHORTEST, LONGEST, LEAST_TEXTS, MODEL_SIZE = 3, 9, 4, 20_000
+#: Shortest and longest word beginning that is a feature; a feature's least number of toxic texts, and its least weight.
+SHORTEST, LONGEST, LEAST_TEXTS, LEAST_WEIGHT = 3, 9, 4, 0.5
 #: The confidence bound's width in standard deviations, and the words remembered by a worker.
 SURE, MEMORY = 2.5, 600_000
-#: Most labelled rows that teach the model: those whose ids have the smallest hashes.
+#: Labelled rows that teach the model at most, about.
 TAUGHT = 30_000
 
 RUN = re.compile(r"(.)\1\1")
@@ -246,32 +249,30 @@ def _counted(reader_of, wanted=None):
     return count
 
 
-def _bound(hit: float, miss: float) -> float:
+def _bound(hit: Column, miss: Column) -> Column:
     """Lower Wilson bound of hit / (hit + miss)."""
-    n = hit + miss
-    p, z2 = hit / n, SURE * SURE
-    return max(1e-6, (p + z2 / (2 * n) - SURE * math.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n))
+    n, z2 = hit + miss, SURE * SURE
+    p = hit / n
+    return F.greatest(F.lit(1e-6), (p + z2 / (2 * n) - SURE * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n))
 
 
 def lexicon(labelled: DataFrame, model: list[float]) -> dict[str, float]:
-    """Weights of word beginnings: the log odds by which the bound of their toxic share exceeds the share of all texts."""
+    """Weights of word beginnings: the log odds by which the bound of their toxic share exceeds the share of all texts. Only
+    those of ``LEAST_WEIGHT`` or more come to the driver; the rows that teach bound their number."""
     sizes = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return {}
     reader_of = lambda: Reader(model)
-    hits = (
-        labelled.filter("y = 1").select("text").mapInArrow(_counted(reader_of), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "f").limit(MODEL_SIZE * 2).collect()
-    )
-    wanted = {r["f"] for r in hits}
-    misses = labelled.filter("y = 0").select("text").mapInArrow(_counted(reader_of, wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
-    miss = {r["f"]: r["n"] for r in misses}
-    base = math.log(toxic / clean)
-    logit = lambda p: math.log(p / (1 - p))
-    weights = {r["f"]: logit(_bound(r["n"], miss.get(r["f"], 0))) - base for r in hits}
-    kept = sorted((-w, f) for f, w in weights.items() if w > 0.5)[:MODEL_SIZE]
-    return {f: -w for w, f in kept}
+    texts = lambda y: labelled.filter(F.col("y") == y).select("text")
+    hits = materialise(texts(1).mapInArrow(_counted(reader_of), "f string, n long").groupBy("f").agg(F.sum("n").alias("hit")).filter(F.col("hit") >= LEAST_TEXTS), "hits")
+    wanted = {r["f"] for r in hits.select("f").collect()}
+    misses = texts(0).mapInArrow(_counted(reader_of, wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("miss"))
+    share = _bound(F.col("hit").cast("double"), F.coalesce("miss", F.lit(0)).cast("double"))
+    weighed = hits.join(misses, "f", "left").select("f", (F.log(share / (1 - share)) - math.log(toxic / clean)).alias("w"))
+    found = {r["f"]: r["w"] for r in weighed.filter(F.col("w") > LEAST_WEIGHT).collect()}
+    discard(hits)
+    return found
 
 
 def _combination(labelled: DataFrame, reader_of, steps: int = 12, ridge: float = 0.02) -> np.ndarray:
@@ -304,12 +305,14 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     """doc_id, held_out, score and predicted of every row. Rows of the held-out fold teach the model no labels."""
     model = character_model(docs)
     known = labels_of(labels, "toxic").filter(fold(F.col("doc_id"), folds) != held_out)
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(taught)
-    # at most ``taught`` rows of an id and a flag, so the texts needn't be shuffled for them
+    share = taught / max(taught, known.count())
+    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # about ``taught`` rows of an id and a flag, so the texts needn't be shuffled for them
     labelled = materialise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y"), "toxicity")
     weights = lexicon(labelled, model)
     reader_of = lambda: Reader(model, weights)
     w = _combination(labelled, reader_of).tolist()
+    discard(labelled)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_of()
