@@ -109,3 +109,65 @@ def test_stream(spark, tmp_path):
     assert seen(store, "k", "n") == [(0, 3), (1, 2), (2, 1)]
     out = ingest.to_messages(store.read(), store.table, 4)
     assert out.columns == ["key", "value", "partition"] and out.count() == 3
+
+
+def files(root):
+    return {str(f.relative_to(root)) for f in root.rglob("*") if f.suffix == ".parquet"}
+
+
+def test_only_days_that_change_are_written_and_only_days_asked_for_are_read(spark, tmp_path):
+    from tidemark.engine import Engine
+
+    e = Engine(spark).create(str(tmp_path), table(retention_days=400, sort_columns=("s",)))
+    root, put = tmp_path / "t", lambda rows, now: e.ingest("t", rows, {"n": "addition"}, now=now)
+    put([{"at": d * DAY + 5, "k": d, "v": d, "n": 1} for d in range(30)], 30 * DAY)
+    assert e.maintain(31 * DAY)["t"][0] == "archive"
+    days = {f for f in files(root) if f.startswith("days-")}
+    assert len({f.split("/")[1] for f in days}) == 30
+    put([{"at": 30 * DAY + 5, "k": 30, "v": 30}, {"at": 7 * DAY + 5, "k": 7, "v": 70, "n": 50}], 31 * DAY)
+    store = e.stores["t"]
+    assert store.backfill_is_due(31 * DAY) and store.archive(now=32 * DAY) and store.backfill(now=32 * DAY)
+    new = {f for f in files(root) if f.startswith("days-")} - days
+    assert {f.split("/")[1] for f in new} == {"day=30", "day=7"}
+    q = {"table": "t", "measures": [{"sqlExpression": "sum(v)", "alias": "v"}], "dimensions": [{"sqlExpression": "n"}], "timeFilter": {"from": "1970-01-08", "to": "1970-01-08"}}
+    df = e.aql(q)
+    assert [tuple(r) for r in df.collect()] == [(1, 70.0)]
+    read = {f.split("/t/")[1] for f in df.inputFiles()}
+    assert {f.split("/")[1] for f in read if f.startswith("days-")} == {"day=7"}
+    e.maintain(405 * DAY)
+    assert sorted(r["k"] for r in store.read().select("k").collect()) == list(range(5, 31))
+
+
+def test_a_lost_writer_changes_nothing(spark, tmp_path):
+    """Whatever a writer leaves behind, half a manifest included, the last whole state is what counts."""
+    store = Store(spark, str(tmp_path / "s"), table())
+    store.ingest(from_rows(spark, [{"at": 100, "k": 1, "v": 1}], store.table), now=DAY)
+    newest = max((tmp_path / "s").glob("manifest-*.json"))
+    (tmp_path / "s" / "manifest-000000000002.json").write_text(newest.read_text()[:50])
+    (tmp_path / "s" / "live-half").mkdir()
+    again = load(spark, store.root)
+    assert seen(again, "k", "v") == [(1, 1)]
+    stale = again.manifest()
+    assert again.ingest(from_rows(spark, [{"at": 100, "k": 2, "v": 2}], store.table), now=DAY)
+    assert seen(store, "k", "v") == [(1, 1), (2, 2)]
+    with pytest.raises(SchemaError):  # a second writer that began before the first had ended
+        store._commit(stale | {"version": stale["version"] + 1})
+    store.purge(now=DAY)
+    assert seen(store, "k", "v") == [(1, 1), (2, 2)] and not (tmp_path / "s" / "live-half").exists()
+
+
+def test_a_failed_batch_is_tried_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), table())
+    source, failed, taken = tmp_path / "in", [], store.ingest
+    source.mkdir()
+    (source / "0.txt").write_text(json.dumps({"at": 100, "k": 1, "n": 1}))
+
+    def flaky(*args, **options):
+        if len(failed) < 2:
+            failed.append(1)
+            raise OSError("gone for a while")
+        return taken(*args, **options)
+
+    store.ingest = flaky
+    ingest.start(spark.readStream.text(str(source)), store, str(tmp_path / "checkpoint"), now=DAY, wait=0.01).awaitTermination(60)
+    assert seen(store, "k", "n") == [(1, 1)] and len(failed) == 2

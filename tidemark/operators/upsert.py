@@ -94,9 +94,10 @@ def without_arithmetic(late: DataFrame, modes: dict[str, str]) -> DataFrame:
     return late.select(*[F.lit(None).cast(late.schema[c].dataType).alias(c) if modes.get(c) in ARITHMETIC else F.col(c) for c in late.columns])
 
 
-def fold(batch: DataFrame, table: TableDef, modes: dict[str, str], order: str) -> DataFrame:
-    """One row a key, as if the batch's rows had come one after the other by ``order``."""
-    keys = list(table.primary_key)
+def fold(batch: DataFrame, table: TableDef, modes: dict[str, str], order: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key, as if the batch's rows had come one after the other by ``order``. Keys may be unique only ``within`` the
+    values of other columns."""
+    keys = [*within, *table.primary_key]
     at = F.col(order)
 
     def folded(c: str) -> Column:
@@ -116,9 +117,9 @@ def fold(batch: DataFrame, table: TableDef, modes: dict[str, str], order: str) -
     return batch.groupBy(*keys).agg(*[folded(c).alias(c) for c in rest])
 
 
-def merge(stored: DataFrame, patch: DataFrame, table: TableDef, modes: dict[str, str], forced: bool = True) -> DataFrame:
+def merge(stored: DataFrame, patch: DataFrame, table: TableDef, modes: dict[str, str], forced: bool = True, within: tuple[str, ...] = ()) -> DataFrame:
     """Stored rows with a folded patch put in. ``forced`` is off for late patches: their nulls never overwrite."""
-    keys = list(table.primary_key)
+    keys = [*within, *table.primary_key]
     s, p = stored.alias("s"), patch.withColumn("__new", F.lit(True)).alias("p")
     same = None
     for k in keys:
@@ -127,7 +128,7 @@ def merge(stored: DataFrame, patch: DataFrame, table: TableDef, modes: dict[str,
 
     def merged(c: str) -> Column:
         old, new = F.col(f"s.{c}"), F.col(f"p.{c}")
-        mode = modes[c]
+        mode = modes.get(c, OVERWRITE)
         if c in keys or mode == OVERWRITE or (mode == FORCE and not forced):
             return F.coalesce(new, old)
         if mode == FORCE:
@@ -135,7 +136,7 @@ def merge(stored: DataFrame, patch: DataFrame, table: TableDef, modes: dict[str,
         both = {ADDITION: (old + new).cast(stored.schema[c].dataType), MIN: F.least(old, new), MAX: F.greatest(old, new)}[mode]
         return F.when(old.isNotNull() & new.isNotNull(), both).otherwise(F.coalesce(old, new))
 
-    return s.join(p, same, "full_outer").select(*[merged(c.name).alias(c.name) for c in table.live])
+    return s.join(p, same, "full_outer").select(*[merged(c).alias(c) for c in (*within, *[c.name for c in table.live])])
 
 
 def upsert(stored: DataFrame, batch: DataFrame, table: TableDef, modes: dict[str, str] | None = None, order: str = "__order") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,8 @@ class TableDef:
     retention_days: int = 0
     archiving_delay_minutes: int = 1440
     archiving_interval_minutes: int = 180
+    backfill_interval_minutes: int = 60
+    backfill_threshold_bytes: int = 200 << 20
     allow_missing_event_time: bool = False
     version: int = 0
 
@@ -145,6 +148,8 @@ class Table:
     case_insensitive: set[str] = field(default_factory=set)
     hll_columns: set[str] = field(default_factory=set)
     shard_column: str | None = None
+    #: The table's current rows with times in [from, to), either of which may be open; ``df`` if there is none.
+    reader: Callable[[int | None, int | None], DataFrame] | None = None
 
     def type_of(self, name: str) -> T.DataType:
         return self.df.schema[name].dataType

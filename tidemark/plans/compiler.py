@@ -258,7 +258,8 @@ class Compiler:
     def _scan(self, lo: int | None, hi: int | None, filters: list[E.Node]) -> DataFrame:
         """The main table within its time range. The range is put in terms of the stored column, so that it reaches the
         files, and of the day partitions, which Spark doesn't derive from it."""
-        df = self.main.df.alias(self.main.name)
+        timed = self.time_name == self.main.time_column
+        df = (self.main.reader(lo if timed else None, hi if timed else None) if self.main.reader else self.main.df).alias(self.main.name)
         if self.q.shards:
             if not self.main.shard_column:
                 raise QueryError(f"{self.main.name} has no shards to choose from")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from tidemark.plans.compiler import Compiled
 from tidemark.plans.query import Query
 from tidemark.plans.sql import parse_sql
 from tidemark.sources import rows as R
+from tidemark.sources.store import DAY, Store
 
 FACTS = {"events": ("ts", "event_id"), "orders": ("o_orderdate", "o_orderkey"), "lineitem": ("l_shipdate", "l_orderkey")}
 KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "nation": "n_nationkey", "region": "r_regionkey", "embeddings": "vec_id"}
@@ -460,4 +463,43 @@ _add("retention_drop", lambda s, d: U.in_time(_log(s, d), LOG, CUT).agg(F.count(
 _add("late_split", lambda s, d: U.split_late(_log(s, d), LOG, CUT)[1].agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM events WHERE {TS} < {CUT}")
 _add("messages", lambda s, d: R.from_messages(_log(s, d).select(F.to_json(F.struct("at", "event_id")).alias("value")), LOG).select(F.col("at").cast("bigint").alias("at"), F.col("event_id").cast("bigint").alias("event_id")),
      f"SELECT {TS} AS at, event_id FROM events")
+# a store: the events up to a moment come first, then the rest, of which some are late
+
+VISITS = TableDef("visits", tuple(ColumnDef(n, t) for n, t in (("at", "Uint32"), ("event_id", "Int64"), ("user_id", "Int64"), ("n", "Int64"))), ("event_id",), retention_days=12)
+
+
+def _stored(*steps: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Events by day after the steps. Every seventh event comes late, with another user."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+        store = Store(spark, f"{folder.rstrip('/')}/visits-{uuid.uuid4().hex}", VISITS)
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        rows = events.select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id", "user_id", F.lit(1).cast("long").alias("n"))
+        store.ingest(rows.filter("event_id % 7 <> 0 OR event_id % 2 = 0"), {"n": "addition"}, order="event_id", now=CUT)
+        if "archive" in steps:
+            store.archive(now=CUT + 600, force=True)
+        store.ingest(rows.filter("event_id % 7 = 0").withColumn("user_id", F.col("user_id") + 1000), {"n": "addition"}, order="event_id", now=CUT)
+        if "backfill" in steps:
+            store.backfill(now=CUT)
+        if "purge" in steps:
+            store.purge(now=CUT + 3 * DAY)
+        found = store.read()
+        return found.groupBy(F.floor(F.col("at") / DAY).cast("bigint").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum("user_id").alias("users"), F.sum("n").alias("n"))
+
+    return run
+
+
+_RECENT = f"{TS} <= {CUT} AND {TS} // 86400 >= {CUT // 86400 - 12}"
+_LATE = "event_id % 7 = 0"
+_CUTOFF = CUT + 600 - VISITS.archiving_delay_minutes * 60
+_VISITS = "SELECT CAST(t // 86400 AS BIGINT) AS day, count(*) AS rows, CAST(sum(u) AS BIGINT) AS users, CAST(sum(n) AS BIGINT) AS n FROM ({}) GROUP BY ALL"
+_BOTH = f"SELECT {TS} AS t, CASE WHEN {_LATE} THEN user_id + 1000 ELSE user_id END AS u, CASE WHEN {_LATE} AND event_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM events WHERE {_RECENT}"
+#: Archived rows that came twice keep their own number: what adds up isn't changed by late rows.
+_MERGED = f"SELECT {TS} AS t, CASE WHEN {_LATE} THEN user_id + 1000 ELSE user_id END AS u, CASE WHEN {_LATE} AND event_id % 2 = 0 AND {TS} >= {_CUTOFF} THEN 2 WHEN {_LATE} AND event_id % 2 = 1 AND {TS} < {_CUTOFF} THEN NULL ELSE 1 END AS n FROM events WHERE {_RECENT}"
+_WAITING = f"SELECT {TS} AS t, CASE WHEN {_LATE} AND {TS} >= {_CUTOFF} THEN user_id + 1000 ELSE user_id END AS u, CASE WHEN {_LATE} AND event_id % 2 = 0 AND {TS} >= {_CUTOFF} THEN 2 ELSE 1 END AS n FROM events WHERE {_RECENT} AND NOT ({_LATE} AND event_id % 2 = 1 AND {TS} < {_CUTOFF})"
+_add("store_ingest", _stored(), _VISITS.format(_BOTH))
+_add("store_archive", _stored("archive"), _VISITS.format(_WAITING))
+_add("store_backfill", _stored("archive", "backfill"), _VISITS.format(_MERGED))
+_add("store_purge", _stored("archive", "backfill", "purge"), _VISITS.format(f"{_MERGED} AND {TS} // 86400 >= {CUT // 86400 + 3 - 12}"))
 _add("pk_lookup", lambda s, d: engine(s, d, {"nation"}).lookup("nation", 7), "SELECT * FROM nation WHERE n_nationkey = 7")
