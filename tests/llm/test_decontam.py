@@ -55,3 +55,32 @@ def test_empty(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert leaks(documents([(1, "a b")]), none).count() == 0 and decontaminate(documents([(1, "a b")]), none).count() == 1
     assert leaks(documents([]), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_items_of_any_length(spark, documents):
+    """More shingles than counters of 16 bits hold, repeated ones among them."""
+    r = random.Random(7)
+    body = [f"w{r.randint(0, 40_000)}" for _ in range(40_000)]
+    docs = [(1, " ".join(["before", *body[:30_020]])), (2, " ".join(body[:20_000])), (3, "x y " * 18_010)]
+    items = spark.createDataFrame([(1, " ".join(body)), (2, "x y " * 24_000)], "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]): (x["similarity"], x["position"]) for x in leaks(documents(docs), items).collect()}
+    assert found == {(1, 1): (30_016 / 39_996, 1), (3, 2): (36_016 / 47_996, 0)}
+
+
+def test_a_large_benchmark(spark, documents):
+    """More shingles than the sifting table once had room for; items share templates."""
+    r = random.Random(8)
+    items = [(i, f"which of the following is true of {' '.join(f'v{r.randint(0, 5000)}' for _ in range(8))}") for i in range(20_000)]
+    docs = [(i, f"intro words {items[i * 37][1]} and more words") for i in range(200)] + [(1000 + i, "which of the following is true of it") for i in range(50)]
+    found = leaks(documents(docs), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} >= {(i, i * 37) for i in range(200)} and all(x["doc_id"] < 1000 for x in found)
+
+
+def test_columns_of_inner_names(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs = documents([(1, "a b c d e f g"), (2, "none of it")])
+    for name in ("leak_id", "leak_hash", "text_hash", "shingles", "words", "at", "window", "item_row", "mark", "run"):
+        docs = docs.withColumn(name, F.lit(7))
+    rest = decontaminate(docs, spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string"))
+    assert rest.columns == docs.columns and [x["doc_id"] for x in rest.collect()] == [2]

@@ -2,34 +2,39 @@
 
 An item's text and a document's windows of the item's size are multisets of word shingles. A window whose similarity to an
 item is above 0 shares a shingle with it, and moving a window on to its first shared shingle loses none, so windows start
-where the document has a shingle of some item of that size. Their 64-bit SimHash fingerprints are looked up in a
-multi-index: with b blocks and radius r, two fingerprints within r differ by r // b bits at most in some block, so the items
-are listed under every block value within that many flips and every item within the radius is met. A pair that is met
-counts once, at its first such block, and is then judged exactly: weighted Jaccard similarity of the two multisets.
+where the document has a shingle of some item, and have that item's size. Of the window's shingles, so many must be items'
+as the least similarity asks for. Window and item have 64-bit SimHash fingerprints.
+The index holds each item under each of its shingles, with the fingerprint's blocks: with b blocks and radius r, two
+fingerprints within r differ by r // b bits at most in some block, so a pair that no block brings near enough is beyond the
+radius and goes unseen; the others are judged exactly, by weighted Jaccard similarity of the two multisets.
 
 At similarity 0.75 fingerprints of 64 bits differ by 11 on average with a deviation of 3; the radius of 26 is five
-deviations above, so what the sketch leaves out is about one pair in 10^6 at the threshold and fewer above it.
+deviations above, so what the sketch leaves out is about one pair in 10^6 at the threshold and fewer above it. At such a
+radius blocks alone tell little: a table of all block values within 26 // 8 flips would let 97 % of all pairs of a window
+and an item of its size meet, a number that grows with the product of both tables. Hence the shingle in the index's key.
 
 Defined results: null and empty texts, of documents or items, match nothing; an item of fewer words than a shingle is one
-shingle of all its words; a window at the text's end may be shorter than the item; repeated items and documents are judged
-row by row; null ids are carried like others; empty tables give empty results; extra columns are ignored.
+shingle of all its words; a window at the text's end may be shorter than the item; texts and items of any length are read
+whole; of an item's equally similar windows in a document the first counts; repeated items and documents are judged row by
+row; null ids are carried like others; empty tables give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import discard, materialise
+from tidemark.llm.storage import materialise, unused
 
 SHINGLE, SIMILARITY = 5, 0.75
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 26
 #: Rows below which an item-side table (some 50 bytes a row) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Bits a shingle and at most of the map by which positions are sifted before they become rows.
-MAP_BITS, MAP_MOST = 32, 1 << 20
+#: Slots for each item shingle, and at most, of the table by which positions are sifted before they become rows. It has a
+#: slot or more for each shingle up to four million of them; beyond, more positions become rows, and the join sifts them.
+MAP_SLOTS, MAP_MOST = 16, 1 << 22
+#: Shingles that counters of 16 bits can hold.
+NARROW = (1 << 15) - 1
 
 
 def words_of(text: Column) -> Column:
@@ -52,23 +57,18 @@ def _shingles(hashes: Column, k: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprint(shingles: Column) -> Column:
-    """SimHash of a multiset of up to 32767 hashes: bit by bit the majority. Four counters share a long, 16 bits each."""
-    lanes = F.lit(0x0001000100010001)
-    none = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(16)])
-    add = lambda acc, h: F.struct(*[(acc[f"s{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(lanes)).alias(f"s{j}") for j in range(16)])
-    most = F.size(shingles)
+def fingerprint(shingles: str) -> Column:
+    """SimHash of a multiset of hashes, given by an SQL expression: bit by bit the majority. As SQL, since it is long."""
+    return F.expr(f"transform(array({shingles}), s -> CASE WHEN size(s) <= {NARROW} THEN {_majority('s', 16)} ELSE {_majority('s', 32)} END)[0]")
 
-    def packed(acc: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for j in range(16):
-            for lane in range(4):
-                over = F.shiftright(acc[f"s{j}"], 16 * lane).bitwiseAND(F.lit(0xFFFF)) * 2 > most
-                bit = 16 * lane + j
-                out = out.bitwiseOR(F.when(over, F.lit((1 << bit) - (1 << 64) * (bit == 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-        return out
 
-    return F.aggregate(shingles, none, add, packed)
+def _majority(s: str, width: int) -> str:
+    """Counters of ``width`` bits share a long: 16 hold multisets of up to 2^15 - 1 hashes, 32 any."""
+    lanes, mask = sum(1 << at for at in range(0, 64, width)), (1 << width) - 1
+    none = ", ".join(f"'s{j}', 0L" for j in range(width))
+    more = ", ".join(f"'s{j}', a.s{j} + (shiftrightunsigned(h, {j}) & {lanes}L)" for j in range(width))
+    bits = [f"CASE WHEN (shiftrightunsigned(a.s{j}, {at}) & {mask}L) * 2 > size({s}) THEN shiftleft(1L, {at + j}) ELSE 0L END" for j in range(width) for at in range(0, 64, width)]
+    return f"aggregate({s}, named_struct({none}), (a, h) -> named_struct({more}), a -> {' | '.join(bits)})"
 
 
 def _block(mark: Column, i: int) -> Column:
@@ -86,42 +86,66 @@ def _items(benchmark: DataFrame) -> DataFrame:
     chosen = _shingles(F.col("h"), SHINGLE)
     for k in range(1, SHINGLE):
         chosen = F.when(F.col("k") == k, _shingles(F.col("h"), k)).otherwise(chosen)
-    return words.select("item", "k", chosen.alias("shingles")).select("*", F.size("shingles").alias("size"), fingerprint(F.col("shingles")).alias("mark"))
-
-
-def _probes(items: DataFrame) -> DataFrame:
-    """Every block value within RADIUS // BLOCKS flips of an item's own."""
-    flips = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("mark"), i).alias("own")) for i in range(BLOCKS)])
-    out = items.select("size", "item_row", F.col("mark").alias("item_mark"), F.explode(blocks).alias("b"))
-    out = out.select("size", "item_row", "item_mark", "b.*", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
-    return out.select("size", "item_row", "item_mark", "block", F.col("own").bitwiseXOR(F.col("flip").cast("long")).alias("value"))
-
-
-def _map_of(shingles: DataFrame) -> tuple[Column, int]:
-    """A bit map of the hashes as an array of longs, and its number of bits. Of bounded size; a full one sifts nothing."""
-    n = shingles.count()
-    bits = 1 << 12
-    while bits < min(MAP_MOST, MAP_BITS * n):
-        bits *= 2
-    at = F.col("h").bitwiseAND(F.lit(bits - 1))
-    rows = shingles.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    found = {r["word"]: r["bits"] for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()}
-    return F.from_json(F.lit(str([found.get(i, 0) for i in range(bits // 64)])), "array<bigint>"), bits
-
-
-def _first_block(x: Column, y: Column) -> Column:
-    """The first block in which two fingerprints are near enough to have met."""
-    out = F.lit(BLOCKS)
-    for i in reversed(range(BLOCKS)):
-        out = F.when(F.bit_count(_block(x.bitwiseXOR(y), i)) <= RADIUS // BLOCKS, F.lit(i)).otherwise(out)
-    return out
+    return words.select("item", "k", chosen.alias("shingles")).select("*", F.size("shingles").alias("size"), fingerprint("shingles").alias("mark"))
+
+
+def _sizes_by_slot(listed: DataFrame) -> tuple[Column, int]:
+    """For each slot of a table of hashes the sizes of the shortest and the longest item that has a shingle there, as the next
+    powers of two below and above: two bytes, 0 if none has, else one more than the power. And the number of slots."""
+    n = listed.select("h").distinct().count()
+    slots = 1 << 12
+    while slots < min(MAP_MOST, MAP_SLOTS * n):
+        slots *= 2
+    table = bytearray(2 * slots)
+    for r in listed.groupBy(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("slot")).agg(F.min("size").alias("low"), F.max("size").alias("high")).collect():
+        table[2 * r["slot"] : 2 * r["slot"] + 2] = bytes((r["low"].bit_length(), (r["high"] - 1).bit_length() + 1))
+    return F.lit(bytes(table)), slots
+
+
+def _starts(shingles: Column, table: Column, slots: int) -> Column:
+    """Where windows begin: (at, size) for each position with an item's shingle from which on, within the size, there are as
+    many such positions as the least similarity to the shortest item asks for; the size is the longest item's or more."""
+    byte = lambda i: F.ascii(F.call_function("substring", table, i, F.lit(1)).cast("string"))
+    slot = lambda h: h.bitwiseAND(F.lit(slots - 1)).cast("int") * 2 + 1
+    held = F.filter(F.transform(shingles, lambda h, i: F.when(byte(slot(h)) > 0, i)), lambda i: i.isNotNull())
+
+    def enough(places: Column) -> Column:
+        def tested(at: Column, j: Column) -> Column:
+            here = slot(F.get(shingles, at))
+            low, high = F.call_function("shiftleft", F.lit(1), byte(here) - 1), F.call_function("shiftleft", F.lit(1), byte(here + 1) - 1)
+            # similarity s of sizes a and b takes s / (1 + s) of a + b in common
+            both = low + F.least(low, F.size(shingles) - at)
+            need = F.ceil(both * int(100 * SIMILARITY) / (100 + int(100 * SIMILARITY))).cast("int")
+            return F.when(F.get(places, j + need - 1) < at + high, F.struct(at.alias("at"), high.alias("size")))
+
+        return F.filter(F.transform(places, tested), lambda x: x.isNotNull())
+
+    # an array of one, so that the positions are worked out once
+    return F.flatten(F.transform(F.array(held), enough))
+
+
+def _near(x: Column, y: Column) -> Column:
+    """Whether two fingerprints are near enough in some block to be within the radius, and are within it."""
+    some = F.lit(False)
+    for i in range(BLOCKS):
+        some = some | (F.bit_count(_block(x.bitwiseXOR(y), i)) <= RADIUS // BLOCKS)
+    return some & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS)
 
 
 def _common(window: Column, item: Column) -> Column:
-    """Size of the intersection of two multisets."""
-    times = lambda a, h: F.size(F.filter(a, lambda x: x == h))
-    return F.aggregate(F.array_intersect(window, item), F.lit(0), lambda n, h: n + F.least(times(window, h), times(item, h)))
+    """Size of the intersection of two multisets: of sets by hash, else by counting through both in order."""
+    is_set = lambda a: F.size(F.array_distinct(a)) == F.size(a)
+    marked = F.array_sort(F.concat(F.transform(window, lambda h: F.struct(h.alias("h"), F.lit(1).alias("w"))), F.transform(item, lambda h: F.struct(h.alias("h"), F.lit(0).alias("w")))))
+    start = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        # of equal hashes the item's come first; each is left until one of the window's takes it
+        left = F.when(acc["h"] == x["h"], acc["left"]).otherwise(F.lit(0))
+        takes = (x["w"] == 1) & (left > 0)
+        return F.struct(x["h"].alias("h"), F.when(x["w"] == 0, left + 1).otherwise(F.when(takes, left - 1).otherwise(left)).alias("left"), (acc["n"] + F.when(takes, 1).otherwise(0)).alias("n"))
+
+    counted = F.aggregate(marked, start, step, lambda acc: acc["n"])
+    return F.when(is_set(window) & is_set(item), F.size(F.array_intersect(window, item))).otherwise(counted)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -137,25 +161,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _leaks(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    listed = items.select("size", F.explode("shingles").alias("h")).distinct()
-    sieve, bits = _map_of(listed.select("h").distinct())
-    longest = items.agg(F.max("size")).first()[0] or 0
+    listed = items.select("item_row", "size", "mark", F.explode(F.array_distinct("shingles")).alias("h"))
+    table, slots = _sizes_by_slot(listed)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _hashed(words_of(F.col("text"))).alias("words"))
     rows = rows.select("doc_id", "text_hash", _shingles(F.col("words"), k).alias("shingles"))
-    word = lambda h: F.get(sieve, F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int"))
-    maybe = lambda h: F.call_function("shiftrightunsigned", word(h), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    places = F.filter(F.transform("shingles", lambda h, i: F.when(maybe(h), i)), lambda i: i.isNotNull())
-    starts = F.transform(places, lambda i: F.struct(i.alias("at"), F.slice("shingles", i + 1, longest).alias("run")))
     # exploded where it is made: of a column, Spark would infer a filter and, below the projection, make the array anew in it
-    rows = rows.select("doc_id", "text_hash", F.explode(starts).alias("s")).select("doc_id", "text_hash", "s.at", "s.run", F.col("s.run")[0].alias("h"))
+    rows = rows.select("doc_id", "text_hash", "shingles", F.explode(_starts(F.col("shingles"), table, slots)).alias("s"))
+    rows = rows.select("doc_id", "text_hash", "s.at", F.slice("shingles", F.col("s.at") + 1, F.col("s.size")).alias("run"))
+    rows = rows.withColumn("h", F.col("run")[0])
 
-    windows = rows.join(_small(listed), "h").select("doc_id", "text_hash", "at", "size", F.slice("run", 1, F.col("size")).alias("window"))
-    windows = windows.withColumn("mark", fingerprint(F.col("window")))
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("mark"), i).alias("value")) for i in range(BLOCKS)])
-    keyed = windows.select("*", F.explode(blocks).alias("b")).select("doc_id", "text_hash", "at", "size", "window", "mark", "b.block", "b.value")
-    met = keyed.join(_small(_probes(items)), ["size", "block", "value"])
-    met = met.filter((F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS) & (F.col("block") == _first_block(F.col("mark"), F.col("item_mark"))))
+    met = rows.join(_small(listed), "h")
+    window = F.slice("run", 1, F.col("size"))
+    met = met.filter(F.exists(F.array(fingerprint("slice(run, 1, size)")), lambda x: _near(x, F.col("mark")))).select("doc_id", "text_hash", "at", "item_row", window.alias("window"))
 
     judged = met.join(_small(items.select("item_row", "item", "shingles")), "item_row")
     both = F.size("window") + F.size("shingles")
@@ -168,8 +186,9 @@ def _leaks(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("leak_id")) & (F.xxhash64(docs["text"]) == F.col("leak_hash"))
+    leak, mark = unused("leak_id", docs), unused("leak_hash", docs)
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias(leak), F.col("text_hash").alias(mark)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(leak)) & (F.xxhash64(docs["text"]) == F.col(mark))
     return docs.join(found, same, "left_anti")
 
 
