@@ -69,3 +69,16 @@ def test_a_span_is_covered_by_its_names():
         equal += len(same)
         assert all(found[0][k] == found[1][k] for k in same)
     assert equal
+
+
+def test_templates(spark, documents):
+    """Families of documents made of a phrase and fillers, near the length of an anchor, some of whose fillers differ."""
+    r = random.Random(5)
+    pairs = []
+    for family in range(250):
+        phrase = "".join(r.choice("abcdefghijklmnop ") for _ in range(r.randint(21, 27)))
+        fillers = ["".join(r.choice("0123456789") for _ in range(r.randint(1, 3))) for _ in range(r.randint(3, 30))]
+        for i in range(r.randint(2, 4)):
+            own = [x if r.random() < r.choice((0.7, 0.95, 1.0)) else str(r.randint(0, 99)) for x in fillers]
+            pairs.append((family * 10 + i, "".join(phrase + x for x in own)))
+    check(documents, pairs)

@@ -4,7 +4,7 @@ Distributed prefix doubling. The rank of the string of length n at a position is
 length up to that, is made from the pair of names at the position and at an offset. Spark deals (name, position) pairs to
 groups by name, where they are sorted; positions whose name is unique drop out, the others are named again at a longer
 length, until they are unique or past the threshold. Names are 64-bit fingerprints made pairwise as above, so that no round
-has to look up the partner's rank in another machine's table; two names together (some 80 bits) decide.
+has to look up the partner's rank in another machine's table; two names of different making (112 bits) decide.
 
 Only positions that matter are dealt:
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialise, release
+from tidemark.llm.storage import materialise
 
 THRESHOLD, ANCHOR = 50, 24
 MOST = THRESHOLD * 2  # strings of a span
@@ -46,7 +46,9 @@ SPANS = 8
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xFF51AFD7ED558CCD)]
 _BYTES = np.random.default_rng(20260101).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 PACK = "grp int, kind string, payload binary"
-FIELDS = [("name", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("pos", "<u4"), ("run", "u1")]
+#: Of a record that is settled, what names it is no longer needed.
+PLACE = [("doc", "<i8"), ("tag", "<u2"), ("pos", "<u4"), ("run", "u1")]
+FIELDS = [("name", "<u8"), ("check", "<u8"), *PLACE]
 
 
 def _paired(h: np.ndarray, offset: int, level: int) -> np.ndarray:
@@ -93,17 +95,20 @@ def _records(name: np.ndarray, start: np.ndarray, pos: np.ndarray, run: np.ndarr
     # a span of r strings is named by its first, a middle and its last string, which cover it as r <= MOST
     mid, last = full[pos + run // 2], full[pos + run - 1]
     whole = start * _ODD[1] ^ (mid + run.astype(np.uint64)) * _ODD[3] ^ last * _ODD[4]
-    out["check"] = (whole ^ (whole >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
+    out["check"] = whole ^ (whole >> np.uint64(32))
     out["pos"], out["run"] = pos, run
     return out
 
 
-def pack(records: np.ndarray) -> bytes:
-    """Columns of records in order of document and position, as differences where that is smaller, compressed."""
+def pack(records: np.ndarray, named: bool) -> bytes:
+    """Columns of records in order of document and position, as differences where that is smaller, compressed; with the names
+    only where they still have to be compared."""
     r = records[np.lexsort((records["pos"], records["doc"]))]
     doc, pos = np.diff(r["doc"], prepend=0), np.diff(r["pos"].astype("<i8"), prepend=0)
-    name = np.ascontiguousarray(r["name"]).view(np.uint8).reshape(-1, 8)[:, :6]  # with the group, enough to tell names apart
-    parts = [np.int64(len(r)).tobytes(), name.tobytes(), r["check"].tobytes(), doc.astype("<i8").tobytes(), r["tag"].tobytes(), pos.astype("<i4").tobytes(), r["run"].tobytes()]
+    parts = [np.array([len(r), named], "<i8").tobytes(), doc.astype("<i8").tobytes(), r["tag"].tobytes(), pos.astype("<i4").tobytes(), r["run"].tobytes()]
+    if named:
+        name = np.ascontiguousarray(r["name"]).view(np.uint8).reshape(-1, 8)[:, :6]  # with the group and the check, enough to tell names apart
+        parts += [name.tobytes(), r["check"].tobytes()]
     data = b"".join(parts)
     return np.int64(len(data)).tobytes() + pa.Codec("zstd").compress(data, asbytes=True)
 
@@ -113,15 +118,16 @@ def unpack(payloads: pa.ChunkedArray) -> np.ndarray:
     for p in payloads:
         raw = p.as_py()
         data = pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
-        n, at = int.from_bytes(data[:8], "little"), 8
+        (n, named), at = np.frombuffer(data, "<i8", 2).tolist(), 16
         r = np.zeros(n, FIELDS)
-        name = np.zeros((n, 8), np.uint8)
-        name[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(-1, 6)
-        r["name"], at = name.view("<u8").ravel(), at + 6 * n
-        for field, kind in (("check", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("pos", "<i4"), ("run", "u1")):
+        for field, kind in (("doc", "<i8"), ("tag", "<u2"), ("pos", "<i4"), ("run", "u1")):
             values = np.frombuffer(data, kind, n, at)
             at += values.nbytes
             r[field] = values.cumsum() if field in ("doc", "pos") else values
+        if named:
+            name = np.zeros((n, 8), np.uint8)
+            name[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(-1, 6)
+            r["name"], r["check"] = name.view("<u8").ravel(), np.frombuffer(data, "<u8", n, at + 6 * n)
         out.append(r)
     return np.concatenate(out)
 
@@ -145,16 +151,16 @@ def _by_document(records: np.ndarray, groups: int, kind: str) -> list[tuple]:
     docs, at = np.unique(records["doc"], return_inverse=True)
     # Spark's xxhash64 of a long
     hashes = np.array([xxhash.xxh64_intdigest(d.tobytes(), 42) for d in docs], np.uint64).view(np.int64)
-    return _dealt(records, (hashes % groups)[at], kind)
+    return _dealt(records, (hashes % groups)[at], kind, False)
 
 
-def _dealt(records: np.ndarray, group: np.ndarray, kind: str) -> list[tuple]:
+def _dealt(records: np.ndarray, group: np.ndarray, kind: str, named: bool = True) -> list[tuple]:
     if not len(records):
         return []
     order = np.argsort(group, kind="stable")
     records, group = records[order], group[order]
     starts = _starts(group)
-    return [(int(group[s]), kind, pack(records[s:e])) for s, e in zip(starts, np.append(starts[1:], len(records)), strict=True)]
+    return [(int(group[s]), kind, pack(records[s:e], named)) for s, e in zip(starts, np.append(starts[1:], len(records)), strict=True)]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -258,7 +264,7 @@ def _third_round(groups: int):
             r = np.zeros(len(at), FIELDS)
             r["name"] = full[at] ^ (full[at] >> np.uint64(31))
             other = names(data[::-1], [THRESHOLD])[0][::-1][at]  # of the same strings read backwards
-            r["check"] = other >> np.uint64(32)
+            r["check"] = other ^ (other >> np.uint64(31))
             r["doc"], r["tag"], r["pos"], r["run"] = doc, tag, at, 1
             gathered.append(r)
         r = np.concatenate(gathered)
@@ -318,7 +324,6 @@ def repeated_passages(docs: DataFrame, cut: bool = False) -> DataFrame:
 
     first = docs.mapInArrow(_first_round(groups), PACK)
     second = materialise(first.groupBy("grp").applyInArrow(_second_round(groups), PACK), "ranked")
-    release(docs.sparkSession)
 
     # texts are dealt by the rule of ``_by_document``; rows without an id by their texts
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
@@ -326,6 +331,5 @@ def repeated_passages(docs: DataFrame, cut: bool = False) -> DataFrame:
     strings = texts.groupBy("grp").cogroup(second.filter("kind = 'open'").groupBy("grp")).applyInArrow(_third_round(groups), PACK)
     third = materialise(strings.groupBy("grp").applyInArrow(_fourth_round(groups), PACK), "named")
     found = second.filter("kind = 'repeated'").unionByName(third)
-    release(docs.sparkSession)
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * cut
     return texts.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_finish(cut), schema)

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.storage import materialise, release
+from tidemark.llm.skew import spread_join
+from tidemark.llm.storage import discard, materialise, unused
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
@@ -42,6 +43,7 @@ DEVIATIONS = 4.6  # of the share of equal registers that a pair's estimate may l
 TILE = 65536  # hashes that are made at once for a sketch
 EARLY = 3  # bands that are used before the others, whose buckets then hold few components
 BLOCK = 32  # nodes of a block whose pairs are compared at once
+PART = 8  # left blocks of a bucket that one task compares with all its blocks, about
 MEMORY = 500_000  # words whose hashes a worker remembers
 GRID = np.linspace(0.0, 1.0, 101)
 
@@ -220,10 +222,10 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar enough. The side that recurs most, the leaders', is joined last, where a leader's
-    set needs to be shuffled once only."""
+    """Pairs (a stored table) whose full sets are similar enough. The side that recurs most, the leaders', is joined last;
+    the pairs of a leader of many are dealt to several tasks, each of which gets the leader's set."""
     side = lambda c: sets.select(F.col("uid").alias(c), F.col("elements").alias(f"set_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
+    return spread_join(pairs, side("a"), ["a"], "b", then=lambda left: left.join(side("b"), "b")).select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,11 +243,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = nodes.select("node", "regs").mapInArrow(_banded, "band long, place int, node long")
     buckets = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("band")
     members = materialise(bands.join(buckets, "band"), "members")
-    release(docs.sparkSession)
     # only these nodes' full sets can be asked for: they are made from the texts once more
     asked = members.select(F.col("node").alias("uid")).distinct()
     sets = materialise(rows.select("uid", "text").join(asked, "uid").mapInArrow(_full_sets, "uid long, n long, fine binary, elements binary"), "sets")
-    release(docs.sparkSession)
 
     sketch_of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
     def named_by(comps: DataFrame | None) -> DataFrame:
@@ -253,48 +253,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             return members.withColumn("comp", F.col("node"))
         return members.join(comps, "node", "left").select("band", "place", "node", F.coalesce("comp", "node").alias("comp"))
 
-    links = comps = None
+    links = comps = tried = None
+    done = []  # tables that only the links are made from
     for turn, bands_used in enumerate((EARLY, BANDS, BANDS)):
-        named = named_by(comps).filter(F.col("place") < bands_used)
+        named = materialise(named_by(comps).filter(F.col("place") < bands_used), "named")
         # the leader is a node of the bucket's largest component, another one each time
         sizes = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("l"))
         leaders = sizes.groupBy("band").agg(F.max(F.struct("c", F.xxhash64("comp", F.lit(turn)), F.col("comp").alias("of"), "l")).alias("m"), F.count(F.lit(1)).alias("k"))
         leaders = leaders.filter("k > 1").select("band", F.col("m.of").alias("of"), F.col("m.l").alias("leader"))
-        first = named.join(leaders, "band").filter(F.col("comp") != F.col("of"))
+        first = spread_join(named, leaders, ["band"], "node").filter(F.col("comp") != F.col("of"))
         first = first.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         if links is not None:
             first = first.join(tried, ["a", "b"], "left_anti")
-        first = materialise(first.join(sketch_of("b"), "b").join(sketch_of("a"), "a").mapInArrow(_sieved, "a long, b long"), "pairs")
+        met = materialise(first, "met")
+        both = spread_join(met, sketch_of("a"), ["a"], "b", then=lambda left: left.join(sketch_of("b"), "b"))
+        first = materialise(both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_sieved, "a long, b long"), "pairs")
+        discard(named, met)
         tried = tried.union(first) if links is not None else first
         found = materialise(_confirm(first, sets), "links")
+        done += [first, found]
         links = links.union(found) if links is not None else found
         if found.isEmpty():
             break
+        discard(comps)
         comps = components(links)
-        release(docs.sparkSession)
     if comps is None:
         comps = components(links)
 
     named = materialise(named_by(comps), "named")
     mixed = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
-    open_ = named.join(mixed, "band")
-    second = _between(open_, sets.select(F.col("uid").alias("node"), "n", "fine").dropDuplicates(["node"]))
-    more = materialise(_confirm(second.distinct(), sets), "links")
-    release(docs.sparkSession)
+    open_ = spread_join(named, mixed, ["band"], "node")
+    blocks = materialise(_blocks(open_, sets.select(F.col("uid").alias("node"), "n", "fine").dropDuplicates(["node"])), "blocks")
+    second = materialise(_between(blocks).distinct(), "pairs")
+    more = materialise(_confirm(second, sets), "links")
     if not more.isEmpty():
+        discard(comps)
         comps = components(links.union(more))
 
-    whole = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
-    whole = materialise(whole.join(least, "comp").select("f1", "f2", "component_id"), "components")
-    out = table.select("doc_id", "n", "f1", "f2").join(whole, ["f1", "f2"])
+    placed = materialise(classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    whole = materialise(spread_join(placed, least, ["comp"], "node").select("f1", "f2", "component_id"), "components")
+    discard(placed, classes, nodes, members, sets, named, blocks, second, more, comps, *done)
+    # a class of copies may hold a third of all rows; the rows' columns are read, not their sketches
+    out = spread_join(table.select("uid", "doc_id", "n", "f1", "f2"), whole, ["f1", "f2"], "uid")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def _between(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs of nodes that share a bucket but no component. Blocks hold nodes of one component if it is large,
-    or of several small ones; two blocks of one large component are never compared."""
+def _blocks(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of each bucket in blocks, each of nodes of one component if it is large, or of several small ones."""
     sizes = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
     small = sizes.filter(F.col("c") < BLOCK).groupBy("band").agg(F.sum("c").alias("small"))
     sizes = sizes.join(small, "band", "left")
@@ -302,17 +309,27 @@ def _between(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
     placed = open_.join(sizes, ["band", "comp"]).join(nodes, "node")
     placed = placed.select("band", "place", F.when(large, F.col("comp")).otherwise(F.lit(-1)).alias("whose"), F.when(large, deal("node", "c")).otherwise(deal("comp", "small")).alias("part"), F.struct("node", "comp", "n", "fine").alias("x"))
-    blocks = materialise(placed.groupBy("band", "place", "whose", "part").agg(F.collect_list("x").alias("xs")), "blocks")
+    return placed.groupBy("band", "place", "whose", "part").agg(F.collect_list("x").alias("xs"))
+
+
+def _between(blocks: DataFrame) -> DataFrame:
+    """Likely pairs of nodes that share a bucket but no component. Two blocks of one large component are never compared. A
+    bucket of many blocks is dealt to several tasks by its left blocks, each of which gets all its right blocks."""
+    parts = F.ceil(F.col("k") / PART).cast("int")
+    dealt = blocks.groupBy("band").agg(F.count(F.lit(1)).alias("k")).select("band", parts.alias("parts"))
     left = blocks.select("band", "place", F.struct("whose", "part").alias("l"), F.col("xs").alias("left"))
     right = blocks.select("band", F.struct("whose", "part").alias("r"), F.col("xs").alias("right"))
+    left = left.join(dealt, "band").withColumn("salt", F.pmod(F.xxhash64("l.whose", "l.part"), F.col("parts")).cast("int")).drop("parts")
+    right = right.join(dealt, "band").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     meet = (F.col("l") <= F.col("r")) & ((F.col("l.whose") != F.col("r.whose")) | (F.col("l.whose") == -1))
-    return left.join(right, "band").filter(meet).select("place", "left", "right").mapInArrow(_crossed, "a long, b long")
+    return left.join(right, ["band", "salt"]).filter(meet).select("place", "left", "right").mapInArrow(_crossed, "a long, b long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each component. Rows repeated whole are one document."""
-    result = near_duplicates(docs).groupBy(F.col("doc_id").alias("gone")).agg(F.max("kept").alias("kept")).filter(~F.col("kept"))
-    return docs.join(result, docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = unused("gone", docs)
+    result = near_duplicates(docs).groupBy(F.col("doc_id").alias(gone)).agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(gone)
+    return docs.join(result, docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def near_duplicates_sql() -> str:
