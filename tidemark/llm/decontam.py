@@ -171,9 +171,12 @@ def _leaks(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     rows = rows.select("doc_id", "text_hash", "s.at", F.slice("shingles", F.col("s.at") + 1, F.col("s.size")).alias("run"))
     rows = rows.withColumn("h", F.col("run")[0])
 
-    met = rows.join(_small(listed), "h")
-    window = F.slice("run", 1, F.col("size"))
-    met = met.filter(F.exists(F.array(fingerprint("slice(run, 1, size)")), lambda x: _near(x, F.col("mark")))).select("doc_id", "text_hash", "at", "item_row", window.alias("window"))
+    # one window for all items of a size that share its first shingle, however many they are
+    windows = rows.join(_small(listed.select("h", "size").distinct()), "h")
+    # a window at the text's end may be too short for the item, however alike
+    windows = windows.filter(100 * F.least(F.size("run"), F.col("size")) >= int(100 * SIMILARITY) * F.col("size"))
+    windows = windows.select("doc_id", "text_hash", "at", "h", "size", F.slice("run", 1, F.col("size")).alias("window"), fingerprint("slice(run, 1, size)").alias("own"))
+    met = windows.join(_small(listed), ["h", "size"]).filter(_near(F.col("own"), F.col("mark"))).select("doc_id", "text_hash", "at", "item_row", "window")
 
     judged = met.join(_small(items.select("item_row", "item", "shingles")), "item_row")
     both = F.size("window") + F.size("shingles")
