@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -131,3 +132,53 @@ def test_components(spark, edges):
 def test_a_long_path(spark, n):
     found = components(spark.range(n).selectExpr("id AS a", "id + 1 AS b"))
     assert found.count() == n + 1 and found.select("comp").distinct().count() == 1
+
+
+@pytest.mark.parametrize("few", [0, 5, 10_000])
+def test_components_by_rounds_and_in_one_task(spark, few):
+    """Links united at once, after some rounds of contraction, or by rounds alone, double links and loops among them."""
+    r = random.Random(few)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)] + [(5, 5), (201, 200), (200, 201)]
+    to = {i: i for e in edges for i in e if e[0] != e[1]}
+    for _ in to:
+        for a, b in edges:
+            if a != b:
+                to[a] = to[b] = min(to[a], to[b])
+    found = {x["node"]: x["comp"] for x in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+    groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
+    assert groups(found) == groups(to)
+
+
+def tables_written(monkeypatch):
+    """The names of the tables that components and near duplicates write from now on."""
+    names = []
+    for module in (setsketch, sys.modules["tidemark.llm.components"]):
+        write = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name="table", write=write: names.append(name) or write(df, name))
+    return names
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    names = tables_written(monkeypatch)
+    assert components(spark.range(2000).selectExpr("id AS a", "id + 1 AS b")).select("comp").distinct().count() == 1
+    assert len(names) <= 2  # not three for each of a dozen rounds
+
+
+def near_copies(n):
+    r = random.Random(8)
+    base = [f"v{r.randrange(400)}" for _ in range(150)]
+    return [(i, " ".join(w if k != i % 150 else f"x{i}" for k, w in enumerate(base))) for i in range(n)]
+
+
+def test_a_group_of_near_copies_takes_few_tables(spark, documents, monkeypatch):
+    names, pairs = tables_written(monkeypatch), near_copies(120)
+    check(setsketch.near_duplicates(documents(pairs)), pairs)
+    assert len(names) <= 30
+
+
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_pairs_sent_and_shuffled(spark, documents, odd, monkeypatch, sent):
+    """The same result whether met pairs are sieved and shuffled, or sent to the nodes and confirmed at once."""
+    monkeypatch.setattr(setsketch, "SENT", sent)
+    pairs = [*odd, *((100 + i, t) for i, t in near_copies(40))]
+    check(setsketch.near_duplicates(documents(pairs)), pairs)

@@ -22,7 +22,7 @@ component unless no other id is in it, and then is kept; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ TILE = 65536  # hashes that are made at once for a sketch
 EARLY = 3  # bands that are used before the others, whose buckets then hold few components
 BLOCK = 32  # nodes of a block whose pairs are compared at once
 PART = 8  # left blocks of a bucket that one task compares with all its blocks, about
+WORTH = 10  # met pairs a link up to which leaders are met once more, before pairs of blocks
+SENT = 50_000  # pairs, of 16 bytes, up to which they are sent to the nodes
 MEMORY = 500_000  # words whose hashes a worker remembers
 GRID = np.linspace(0.0, 1.0, 101)
 
@@ -171,10 +173,15 @@ def _likely(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nda
     ok = np.minimum(n_a, n_b) * 100 >= PERCENT * np.maximum(n_a, n_b)
     at, m = np.flatnonzero(ok), regs_a.shape[1]
     # known set sizes make the estimate narrower than a share of equal registers only if they differ
-    least = PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / m)
+    deviation = np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / m)
+    least = PERCENT / 100 - DEVIATIONS * deviation
     for s in range(0, len(at), 20000):
         k = at[s : s + 20000]
         a, b = regs_a[k], regs_b[k]
+        # the estimate takes time: first the share of equal registers, which is below the similarity by so much once in 10^8
+        some = (a == b).sum(1) >= m * (PERCENT / 100 - (DEVIATIONS + 1.0) * deviation)
+        ok[k[~some]] = False
+        k, a, b = k[some], a[some], b[some]
         ok[k] = similarity((a > b).sum(1), (a < b).sum(1), n_a[k].astype(float), n_b[k].astype(float), m) >= least
     return ok
 
@@ -221,11 +228,20 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _with_both(pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
+    """Pairs (a stored table) with what ``side`` has of b and of a. The side that recurs most, the leaders', is joined last, when
+    rows are wide; it and the pairs come straight from an exchange and nothing is grouped after, so that Spark deals the pairs
+    of a leader of many to several tasks (``spark.sql.adaptive.skewJoin``). Few pairs are sent to the nodes, of which only those
+    that met are then shuffled."""
+    if pairs.count() > SENT:
+        return pairs.join(side("b"), "b").join(side("a"), "a")
+    return side("b").join(F.broadcast(pairs), "b").join(side("a").join(F.broadcast(pairs.select("a")), "a", "left_semi"), "a")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a stored table) whose full sets are similar enough. The side that recurs most, the leaders', is joined last;
-    the pairs of a leader of many are dealt to several tasks, each of which gets the leader's set."""
+    """Pairs (a stored table) whose full sets are similar enough."""
     side = lambda c: sets.select(F.col("uid").alias(c), F.col("elements").alias(f"set_{c}"))
-    return spread_join(pairs, side("a"), ["a"], "b", then=lambda left: left.join(side("b"), "b")).select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
+    return _with_both(pairs, side).select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -260,30 +276,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # the leader is a node of the bucket's largest component, another one each time
         sizes = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("l"))
         leaders = sizes.groupBy("band").agg(F.max(F.struct("c", F.xxhash64("comp", F.lit(turn)), F.col("comp").alias("of"), "l")).alias("m"), F.count(F.lit(1)).alias("k"))
-        leaders = leaders.filter("k > 1").select("band", F.col("m.of").alias("of"), F.col("m.l").alias("leader"))
-        first = spread_join(named, leaders, ["band"], "node").filter(F.col("comp") != F.col("of"))
+        leaders = materialise(leaders.filter("k > 1").select(F.col("band").alias("led"), F.col("m.of").alias("of"), F.col("m.l").alias("leader")), "leaders")
+        # only nodes that meet a leader become rows: closed buckets and the leader's own component make none
+        first = named.join(leaders, (F.col("band") == F.col("led")) & (F.col("comp") != F.col("of")))
         first = first.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         if links is not None:
             first = first.join(tried, ["a", "b"], "left_anti")
         met = materialise(first, "met")
-        both = spread_join(met, sketch_of("a"), ["a"], "b", then=lambda left: left.join(sketch_of("b"), "b"))
-        first = materialise(both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_sieved, "a long, b long"), "pairs")
-        discard(named, met)
+        n_met = met.count()
+        if n_met > SENT:  # fewer are confirmed at once
+            first = materialise(_with_both(met, sketch_of).select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_sieved, "a long, b long"), "pairs")
+            discard(met)
+        else:
+            first = met
+        discard(named, leaders)
         tried = tried.union(first) if links is not None else first
         found = materialise(_confirm(first, sets), "links")
         done += [first, found]
         links = links.union(found) if links is not None else found
-        if found.isEmpty():
+        n_found = found.count()
+        if n_found:
+            discard(comps)
+            comps = components(links)
+        if n_found * WORTH < n_met:  # the nodes that are left differ; all their pairs are looked at below
             break
-        discard(comps)
-        comps = components(links)
     if comps is None:
         comps = components(links)
 
     named = materialise(named_by(comps), "named")
-    mixed = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
-    open_ = spread_join(named, mixed, ["band"], "node")
-    blocks = materialise(_blocks(open_, sets.select(F.col("uid").alias("node"), "n", "fine").dropDuplicates(["node"])), "blocks")
+    sizes = materialise(_open_sizes(named), "sizes")
+    blocks = materialise(_blocks(named, sizes, sets.select(F.col("uid").alias("node"), "n", "fine").dropDuplicates(["node"])), "blocks")
     second = materialise(_between(blocks).distinct(), "pairs")
     more = materialise(_confirm(second, sets), "links")
     if not more.isEmpty():
@@ -293,34 +315,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = materialise(classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     whole = materialise(spread_join(placed, least, ["comp"], "node").select("f1", "f2", "component_id"), "components")
-    discard(placed, classes, nodes, members, sets, named, blocks, second, more, comps, *done)
+    discard(placed, classes, nodes, members, sets, named, sizes, blocks, second, more, comps, *done)
     # a class of copies may hold a third of all rows; the rows' columns are read, not their sketches
     out = spread_join(table.select("uid", "doc_id", "n", "f1", "f2"), whole, ["f1", "f2"], "uid")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def _blocks(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The nodes of each bucket in blocks, each of nodes of one component if it is large, or of several small ones."""
-    sizes = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
-    small = sizes.filter(F.col("c") < BLOCK).groupBy("band").agg(F.sum("c").alias("small"))
-    sizes = sizes.join(small, "band", "left")
+def _open_sizes(named: DataFrame) -> DataFrame:
+    """Of the buckets that hold several components: band, comp, c (the component's nodes there), small (the nodes there of all
+    components of fewer than a block) and parts (to which the bucket's left blocks are dealt)."""
+    sizes = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
+    whole = lambda n: F.ceil(n / BLOCK)
+    small = F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0))
+    blocks = F.sum(F.when(F.col("c") >= BLOCK, whole(F.col("c"))).otherwise(0)) + whole(small)
+    several = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("k"), small.alias("small"), F.ceil(blocks / PART).cast("int").alias("parts"))
+    return sizes.join(several.filter("k > 1").drop("k"), "band")
+
+
+def _blocks(named: DataFrame, sizes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of each open bucket in blocks, each of nodes of one component if it is large, or of several small ones."""
     large = F.col("c") >= BLOCK
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
-    placed = open_.join(sizes, ["band", "comp"]).join(nodes, "node")
-    placed = placed.select("band", "place", F.when(large, F.col("comp")).otherwise(F.lit(-1)).alias("whose"), F.when(large, deal("node", "c")).otherwise(deal("comp", "small")).alias("part"), F.struct("node", "comp", "n", "fine").alias("x"))
-    return placed.groupBy("band", "place", "whose", "part").agg(F.collect_list("x").alias("xs"))
+    placed = named.join(sizes, ["band", "comp"]).join(nodes, "node")
+    placed = placed.select("band", "place", "parts", F.when(large, F.col("comp")).otherwise(F.lit(-1)).alias("whose"), F.when(large, deal("node", "c")).otherwise(deal("comp", "small")).alias("part"), F.struct("node", "comp", "n", "fine").alias("x"))
+    return placed.groupBy("band", "place", "parts", "whose", "part").agg(F.collect_list("x").alias("xs"))
 
 
 def _between(blocks: DataFrame) -> DataFrame:
     """Likely pairs of nodes that share a bucket but no component. Two blocks of one large component are never compared. A
     bucket of many blocks is dealt to several tasks by its left blocks, each of which gets all its right blocks."""
-    parts = F.ceil(F.col("k") / PART).cast("int")
-    dealt = blocks.groupBy("band").agg(F.count(F.lit(1)).alias("k")).select("band", parts.alias("parts"))
-    left = blocks.select("band", "place", F.struct("whose", "part").alias("l"), F.col("xs").alias("left"))
-    right = blocks.select("band", F.struct("whose", "part").alias("r"), F.col("xs").alias("right"))
-    left = left.join(dealt, "band").withColumn("salt", F.pmod(F.xxhash64("l.whose", "l.part"), F.col("parts")).cast("int")).drop("parts")
-    right = right.join(dealt, "band").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left = blocks.select("band", "place", "parts", F.struct("whose", "part").alias("l"), F.col("xs").alias("left"))
+    right = blocks.select("band", "parts", F.struct("whose", "part").alias("r"), F.col("xs").alias("right"))
+    left = left.withColumn("salt", F.pmod(F.xxhash64("l.whose", "l.part"), F.col("parts")).cast("int")).drop("parts")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     meet = (F.col("l") <= F.col("r")) & ((F.col("l.whose") != F.col("r.whose")) | (F.col("l.whose") == -1))
     return left.join(right, ["band", "salt"]).filter(meet).select("place", "left", "right").mapInArrow(_crossed, "a long, b long")
 
