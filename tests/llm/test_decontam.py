@@ -1,4 +1,5 @@
 import random
+import re
 
 from tidemark.llm.decontam import decontaminate, leaks
 
@@ -84,3 +85,12 @@ def test_columns_of_inner_names(spark, documents):
         docs = docs.withColumn(name, F.lit(7))
     rest = decontaminate(docs, spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string"))
     assert rest.columns == docs.columns and [x["doc_id"] for x in rest.collect()] == [2]
+
+
+def test_plans_do_not_write_out_the_table(spark, documents):
+    """The driver keeps and logs every plan, so the table that sifts positions mustn't stand in it in hexadecimal."""
+    words = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, " ".join(words[:30])), (2, "a b c")], "item_id long, text string")
+    found = leaks(documents([(1, " ".join(words)), (2, "x a b c y")]), items)
+    assert sorted((r["doc_id"], r["item_id"], r["position"]) for r in found.collect()) == [(1, 1, 0), (2, 2, 1)]
+    assert not re.search("0x[0-9A-Fa-f]{500}", found._jdf.queryExecution().simpleString())
